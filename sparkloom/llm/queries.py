@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, language_id, mixing
+from . import byte_cnn, language_id, license_scan, mixing, toxicity, warc
 from .frames import table
-from .store import crc_bucket
+from .store import crc_bucket, scratch_path
 
 
 def _key_bucket(name: str, modulus: int):
@@ -25,11 +25,46 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = toxicity.learn(docs, table(spark, sf_dir, "labels"), _key_bucket("k", 5) != 0)
+    scored = toxicity.score(docs, index)
+    return scored.select(
+        "doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    back = warc.read_archive(spark, path)
+    return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 of the SHA-1, five bits at a time from each five hexadecimal digits.
+OP5_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hx FROM pages),
+g AS (SELECT hx, max(page_id) AS top FROM p GROUP BY hx)
+SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(p.hx, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)
+    FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+  CASE WHEN p.page_id < g.top OR (p.page_id IS NULL AND g.top IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id < g.top OR (p.page_id IS NULL AND g.top IS NOT NULL) THEN g.top END AS refers_to
+FROM p JOIN g USING (hx)
+"""
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = language_id.learn_profiles(docs, where=crc_bucket("doc_id", 4) != 2)
@@ -39,8 +74,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_license": op2_license,
+    "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
+    "op5_warc": op5_warc,
     "op7_language": op7_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_warc": OP5_SQL}
