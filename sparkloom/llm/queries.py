@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, decontamination, language_id, license_scan, mixing, toxicity, warc
+from . import byte_cnn, decontamination, language_id, license_scan, mixing, near_dup, toxicity, warc
 from .frames import table
 from .store import crc_bucket, scratch_path
 
@@ -98,6 +98,10 @@ FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
 """
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_license": op2_license,
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op7_language": op7_language,
     "op8_decontamination": op8_decontamination,
+    "op9_near_dup": op9_near_dup,
 }
 
 ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op8_decontamination": OP8_SQL}
