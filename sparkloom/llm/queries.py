@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, decontamination, language_id, license_scan, mixing, near_dup, toxicity, warc
+from . import byte_cnn, decontamination, language_id, license_scan, mixing, near_dup, suffix_lm, toxicity, warc
 from .frames import table
 from .store import crc_bucket, scratch_path
 
@@ -102,6 +102,14 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = suffix_lm.learn(docs, where=crc_bucket("doc_id", 5) != 1)
+    scored = suffix_lm.score(docs, model)
+    held_out = F.coalesce(crc_bucket("doc_id", 5) == 1, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_license": op2_license,
@@ -111,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language": op7_language,
     "op8_decontamination": op8_decontamination,
     "op9_near_dup": op9_near_dup,
+    "op10_lm": op10_lm,
 }
 
 ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op8_decontamination": OP8_SQL}
