@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, decontamination, language_id, license_scan, mixing, near_dup, suffix_lm, toxicity, warc
+from . import additive_ann, byte_cnn, decontamination, language_id, license_scan, mixing, near_dup, suffix_lm, toxicity, warc
 from .frames import table
 from .store import crc_bucket, scratch_path
 
@@ -65,6 +65,11 @@ FROM p JOIN g USING (hx)
 """
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = additive_ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = language_id.learn_profiles(docs, where=crc_bucket("doc_id", 4) != 2)
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_warc": op5_warc,
+    "op6_ann": op6_ann,
     "op7_language": op7_language,
     "op8_decontamination": op8_decontamination,
     "op9_near_dup": op9_near_dup,
