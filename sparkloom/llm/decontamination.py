@@ -33,7 +33,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .frames import fresh
+from .store import left_out, materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words in text that is not lower-cased yet.
@@ -149,3 +150,13 @@ def contamination(
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", items)
     out = out.withColumn("n_items", F.size("items").cast("long"))
     return out.withColumn("contaminated", F.col("n_items") >= min_items)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", width: int = 8, min_items: int = 2) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated."""
+    found = contamination(docs.select(key, text), benchmark, key, text, width, min_items).where("contaminated")
+    names = [fresh(docs, "d"), fresh(docs, "tag")]
+    gone = materialize(found.select("d", "tag").distinct().toDF(*names), "decon-gone")
+    d, tag = document_key(F.col(key), F.col(text))
+    marked = docs.select("*", d.alias(names[0]), tag.alias(names[1]))
+    return left_out(marked, gone, names).select(*docs.columns)

@@ -42,7 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .store import materialize
+from .frames import fresh
+from .store import left_out, materialize
 
 REGISTERS, BANDS, ROWS = 128, 32, 4
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
@@ -283,3 +284,20 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     component = F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id")))
     kept = F.coalesce(F.col("doc_id") == component, component.isNull())
     return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, one for each component.
+
+    Where every id is there once, ids name rows and only the ids that go are
+    joined back.  Else rows are numbered in a table first, so repeated ids and
+    rows without an id are told apart.
+    """
+    sizes = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(key)).alias("ids")).first()
+    if sizes["n"] == sizes["ids"]:
+        gone = deduplicate(docs, key, text, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias(key))
+        return left_out(docs, materialize(gone, "dup-gone"), [key])
+    number = fresh(docs, "row_number")
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "dup-rows")
+    gone = deduplicate(rows, number, text, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias(number))
+    return left_out(rows, materialize(gone, "dup-gone"), [number]).select(*docs.columns)

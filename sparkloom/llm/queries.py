@@ -12,13 +12,9 @@ from .frames import table
 from .store import crc_bucket, scratch_path
 
 
-def _key_bucket(name: str, modulus: int):
-    return F.crc32(F.col(name).cast("string").cast("binary")) % F.lit(modulus)
-
-
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = byte_cnn.learn(docs, table(spark, sf_dir, "labels"), _key_bucket("k", 5) != 0)
+    model = byte_cnn.learn(docs, table(spark, sf_dir, "labels"), crc_bucket("k", 5) != 0)
     scored = byte_cnn.score(docs, model)
     return scored.select(
         "doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
@@ -32,7 +28,7 @@ def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = toxicity.learn(docs, table(spark, sf_dir, "labels"), _key_bucket("k", 5) != 0)
+    index = toxicity.learn(docs, table(spark, sf_dir, "labels"), crc_bucket("k", 5) != 0)
     scored = toxicity.score(docs, index)
     return scored.select(
         "doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
@@ -111,8 +107,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = suffix_lm.learn(docs, where=crc_bucket("doc_id", 5) != 1)
     scored = suffix_lm.score(docs, model)
-    held_out = F.coalesce(crc_bucket("doc_id", 5) == 1, F.lit(False)).alias("held_out")
-    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", (crc_bucket("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -65,15 +65,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def crc_bucket(key: str, modulus: int):
-    """crc32 of the key's decimal text, modulo ``modulus`` (null for a null key)."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus)
+    """crc32 of the key's decimal text, modulo ``modulus``; -1 for a null key, which is in no bucket."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus), F.lit(-1))
 
 
-def semi_by_keys(df: DataFrame, keys: DataFrame, on: list[str], broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Rows of ``df`` whose key is in ``keys`` (distinct, narrow).
+def left_out(df: DataFrame, keys: DataFrame, on: list[str], broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``keys``, a narrow table.
 
-    ``keys`` is counted first: up to ``broadcast_rows`` narrow rows are sent to
-    every executor, more are joined by a shuffle.
+    ``keys`` is counted first: up to ``broadcast_rows`` rows are sent to every
+    executor, more are joined by a shuffle.
     """
     small = keys.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return df.join(F.broadcast(keys) if small else keys.hint("merge"), on, "left_semi")
+    return df.join(F.broadcast(keys) if small else keys.hint("merge"), on, "left_anti").select(*df.columns)
