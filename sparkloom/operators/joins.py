@@ -102,8 +102,11 @@ def join(
         out = a.join(b, condition, how).select(*named)
     if strict and node:
         found = introspect.joins(out, initial=True)
-        if not found or found[0].node != node:
-            raise StrategyNotHonoured(f"{strategy} ({build} side) was asked for a {how} join; the plan has {found[0].node if found else 'no join'}")
+        swapped = how in ("right_semi", "right_anti")
+        side = {"left": "right", "right": "left"}[build] if swapped else build
+        if not found or found[0].node != node or found[0].build not in (None, side):
+            got = f"{found[0].node}, build side {found[0].build}" if found else "no join"
+            raise StrategyNotHonoured(f"{strategy} ({build} side) was asked for a {how} join; the plan has {got}")
     return out
 
 

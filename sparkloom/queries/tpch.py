@@ -66,7 +66,7 @@ GROUP BY o_year ORDER BY o_year
 """)
 R.sql("tpch_q09", f"""
 SELECT nation, o_year, round(sum(amount), 2) AS sum_profit FROM (
-  SELECT n_name AS nation, CAST(year(o_orderdate) AS INTEGER) AS o_year, {_REVENUE} - 0.5 * p_retailprice * l_quantity AS amount
+  SELECT n_name AS nation, CAST(year(o_orderdate) AS INTEGER) AS o_year, {_REVENUE} - 0.37 * p_retailprice * l_quantity AS amount
   FROM {{part}}, {{supplier}}, {{lineitem}}, {{orders}}, {{nation}}
   WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_brand LIKE '%1%') profit
 GROUP BY nation, o_year ORDER BY nation, o_year DESC
