@@ -47,17 +47,21 @@ class ByteCNN:
     block: int
 
     def layout(self, t: textscan.Texts) -> tuple[np.ndarray, np.ndarray]:
-        """The texts in blocks, zero bytes filling each text's last block, and each text's first block."""
-        lengths = np.diff(t.offsets)
-        blocks = np.maximum(1, -(-lengths // self.block))
+        """The texts in blocks, and each text's first block.
+
+        A filter ends at its position.  At least width - 1 zero bytes stand
+        before and after each text, so no filter sees two texts.
+        """
+        lengths, more = np.diff(t.offsets), len(self.table) - 1
+        blocks = np.maximum(1, -(-(lengths + more) // self.block))
         first = np.concatenate([[0], np.cumsum(blocks)])
-        flat = np.zeros(first[-1] * self.block + len(self.table), dtype=np.uint8)
-        shift = np.repeat(first[:-1] * self.block - t.offsets[:-1], lengths)
+        flat = np.zeros(first[-1] * self.block + more, dtype=np.uint8)
+        shift = np.repeat(first[:-1] * self.block + more - t.offsets[:-1], lengths)
         flat[np.arange(len(t.data)) + shift] = t.data
         return flat, first
 
     def block_features(self, flat: np.ndarray, blocks: int) -> np.ndarray:
-        """Largest response of each filter among the positions that start in each block."""
+        """Largest response of each filter among the positions of each block."""
         filters = self.table.shape[2]
         out = np.empty((blocks, filters), dtype=np.float32)
         for a in range(0, blocks, SLICE_BLOCKS):
@@ -90,6 +94,7 @@ def fit(
     units: int = 16,
     block: int = 64,
     epochs: int = 24,
+    min_steps: int = 600,
     batch: int = 64,
     rate: float = 0.01,
     seed: int = 7,
@@ -111,6 +116,7 @@ def fit(
     params = [m.table, m.bias, m.hidden, m.hidden_bias, m.out, bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
+    epochs = max(epochs, -(-min_steps // -(-len(texts) // batch)))
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for lo in range(0, len(order), batch):

@@ -169,7 +169,7 @@ def build_tree(symbols: np.ndarray, unigram: np.ndarray, key: np.ndarray, count:
     code, follower = key >> np.uint64(_BITS), (key & mask).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
     rows = {}
-    for a, b in zip(first.tolist(), np.append(first[1:], len(code)).tolist(), strict=True):
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(code)], strict=False):
         if follower[a] == 0 and b - a > 1:  # the total, and followers
             rows[int(code[a])] = (count[a], follower[a + 1 : b] - 1, count[a + 1 : b])
     length = lambda c: (c.bit_length() + _BITS - 1) // _BITS
@@ -306,9 +306,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 owner = np.repeat(np.arange(len(t)), np.diff(begin))
                 at = head(h)
                 inside = at >= 0
-                base = np.bincount(owner[inside], logs[at[inside]], len(t))
+                base = np.bincount(owner[inside], logs[at[inside]], len(t)).astype(float)
                 known = np.bincount(owner[inside], minlength=len(t))
-                more = np.bincount(owner, tree.gains(h, begin), len(t))
+                more = np.bincount(owner, tree.gains(h, begin), len(t)).astype(float)
                 o, x = owner[~inside], h[~inside]
                 order = np.lexsort((x, o))
                 o, x = o[order], x[order]
