@@ -13,10 +13,14 @@ A document's set are its distinct word shingles as 64-bit hashes.
   chance of about 5e-8.
 * Identical sets are one representative from the start (128 bits of sums over
   the set and its size name it), so copies never make pairs.
-* In each bucket all members are compared with one centre (its smallest id).
-  Members whose pairs with it fail stay for the next round with another centre,
-  until each bucket holds one component or every pair in it was compared.
-  Nobody is dropped or capped, and linked members never pair among themselves.
+* In each bucket all members are compared with one centre (its smallest id),
+  which settles most buckets.  Where members are left in different components,
+  the buckets that share members make a cluster, and a cluster's texts are dealt
+  into blocks of bounded size.  A group is a pair of blocks; within it the pairs
+  that share a band and lie in different components are compared, in order of
+  the estimate, and only links that join components come out.  So no rows are
+  made for pairs, nobody is dropped or capped, and linked members are not
+  compared among themselves.
 * Verification: the two sketches' joint likelihood of the similarity turns
   hopeless pairs away (a likelihood ratio of e^-25), then the full sets, made
   anew from the texts, decide.  A centre's members are dealt over salted groups
@@ -156,6 +160,20 @@ def hopeless(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, threshold: float)
     return bool(found.max() - at.max() > 25)
 
 
+def rejected(j_hat: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, fewer: np.ndarray, equal: np.ndarray, threshold: float) -> np.ndarray:
+    """``hopeless`` for many pairs, with the share of equal registers in place of the likeliest similarity."""
+    top = np.minimum(n_a / n_b, n_b / n_a)
+    at = np.minimum(j_hat, top)
+    ratio = log_likelihood(at, n_a, n_b, more, fewer, equal) - log_likelihood(np.full(len(at), threshold), n_a, n_b, more, fewer, equal)
+    return (top < threshold) | (at < threshold) & (ratio > 25)
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = np.sort(np.concatenate([a, b]))
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """``doc_id, n, sum_a, sum_b, bands`` of every row."""
 
@@ -182,6 +200,13 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, sum_a long, sum_b long, bands array<long>")
 
 
+def _texts(docs: DataFrame, key: str, text: str, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The texts of the rows of ``wanted`` (by ``id``), which is sent to the executors if it was counted to be small."""
+    small = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    return texts.join(F.broadcast(wanted) if small else wanted.hint("merge"), "id")
+
+
 def verify(docs: DataFrame, pairs: DataFrame, key: str, text: str, width: int, percent: int, group: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Those ``(a, c)`` of ``pairs`` whose sets are similar; only the texts that are named are moved."""
     heavy = pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(group))).cast("int").alias("parts"))
@@ -189,10 +214,7 @@ def verify(docs: DataFrame, pairs: DataFrame, key: str, text: str, width: int, p
     member = pairs.join(heavy, "c").select(F.col("a").alias("id"), "c", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
     centre = heavy.select(F.col("c").alias("id"), "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
     wanted = materialize(member.unionByName(centre), "dup-wanted")
-    small = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(wanted) if small else wanted.hint("merge"), "id")
-    rows = rows.repartition("c", "part").sortWithinPartitions("c", "part", "role")
+    rows = _texts(docs, key, text, wanted, broadcast_rows).repartition("c", "part").sortWithinPartitions("c", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, centres = None, []
@@ -216,9 +238,7 @@ def verify(docs: DataFrame, pairs: DataFrame, key: str, text: str, width: int, p
                     for x, r in centres:
                         if hopeless(regs[i], r, len(mine), len(x), percent / 100):
                             continue
-                        both = np.sort(np.concatenate([mine, x]))
-                        common = int((both[1:] == both[:-1]).sum())
-                        if 100 * common >= percent * (len(mine) + len(x) - common):
+                        if linked(mine, x, percent):
                             out.append((ids[k], cs[k]))
                             break
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "c"])
@@ -226,6 +246,86 @@ def verify(docs: DataFrame, pairs: DataFrame, key: str, text: str, width: int, p
     return rows.mapInArrow(run, "a long, c long")
 
 
+def _join_group(ids: list[int], comps: list[int], sides: list[int], sets: list[np.ndarray], regs: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
+    """Links between different components among the texts of one group; with ``cross``, of the two sides only."""
+    label = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+    root = list(range(len(label)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    comp = np.array([label[c] for c in comps])
+    side, size = np.array(sides), np.array([len(x) for x in sets])
+    found: list[np.ndarray] = []
+    for i in range(len(ids) - 1):
+        other = np.arange(i + 1, len(ids))
+        other = other[(comp[other] != comp[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))]
+        if cross:
+            other = other[side[other] != side[i]]
+        same = regs[other] == regs[i]
+        near = same.reshape(len(other), BANDS, ROWS).all(axis=2).any(axis=1)
+        other, same = other[near], same[near].sum(axis=1)
+        if not len(other):
+            continue
+        more = (regs[other] < regs[i]).sum(axis=1)
+        out = rejected(same / REGISTERS, np.full(len(other), size[i]), size[other], more, REGISTERS - same - more, same, percent / 100)
+        found.append(np.stack([np.full(len(other), i), other, same], axis=1)[~out])
+    links = []
+    if found:
+        pairs = np.concatenate(found)
+        for i, j, _ in pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist():
+            a, b = find(comp[i]), find(comp[j])
+            if a != b and linked(sets[i], sets[j], percent):
+                root[a] = b
+                links.append((ids[i], ids[j]))
+    return links
+
+
+def settle(docs: DataFrame, members: DataFrame, key: str, text: str, width: int, percent: int, block_rows: int = 256, block_elements: int = 1 << 19, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Links ``(a, c)`` that join components within clusters; ``members`` has ``rep, n, comp, cluster``.
+
+    A cluster has a block for each ``block_rows`` texts or ``block_elements``
+    shingles, and a text goes to as many groups as its cluster has blocks.
+    """
+    per = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))), F.ceil(F.sum("n") / F.lit(float(block_elements)))).cast("int").alias("blocks"))
+    per = materialize(per, "dup-clusters")
+    dealt = members.join(per, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.select(F.col("rep").alias("id"), "comp", "cluster", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    wanted = dealt.select("id", "comp", "cluster", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    rows = _texts(docs, key, text, materialize(wanted, "dup-wanted"), broadcast_rows)
+    rows = rows.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, comps, sides, sets, regs = None, [], [], [], [], []
+        out: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(ids) > 1:
+                out.extend(_join_group(ids, comps, sides, sets, np.array(regs), at[1] != at[2], percent))
+
+        for b in batches:
+            cols = [b.column(x).to_pylist() for x in ("id", "comp", "cluster", "bi", "bj", "side")]
+            for t in textscan.chunks(b.column("text")):
+                elements, first = shingles(t, width)
+                made = sketches(elements, first)
+                for i in range(len(t)):
+                    one, comp, cluster, bi, bj, side = (c[t.rows.start + i] for c in cols)
+                    if (cluster, bi, bj) != at:
+                        close()
+                        at, ids, comps, sides, sets, regs = (cluster, bi, bj), [], [], [], [], []
+                    mine = elements[first[i] : first[i + 1]]
+                    if len(mine):
+                        for x, v in ((ids, one), (comps, comp), (sides, side), (sets, mine.copy()), (regs, made[i])):
+                            x.append(v)
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "c"])
+
+    return rows.mapInArrow(run, "a long, c long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, comp`` for every id of ``links`` (columns ``a, c``): the smallest id that is reachable."""
     both = links.select(F.col("a").alias("id"), F.col("c").alias("other")).unionByName(links.select(F.col("c").alias("id"), F.col("a").alias("other")))
@@ -249,29 +349,27 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     sets = signed.where(F.col("n") > 0).groupBy("sum_a", "sum_b", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     sets = materialize(sets, "dup-sets")
     filed = materialize(sets.where(F.col("rep").isNotNull()).select("rep", F.explode("bands").alias("bucket")), "dup-buckets")
-    held = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("bucket")
-    held = materialize(held, "dup-shared")
-    open_ = materialize(filed.join(held, "bucket", "left_semi").select("bucket", "rep", F.col("rep").alias("comp")), "dup-open")
-
-    links = comps = tested = None
-    while True:
-        # A bucket is done when those that were no centre yet are in one component.
-        heads = open_.groupBy("bucket").agg(F.min("rep").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rep", "comp")).alias("m"))
-        heads = materialize(heads.where(F.col("lo") != F.col("hi")).select("bucket", "c", F.col("m.comp").alias("c_comp")), "dup-heads")
-        if heads.limit(1).count() == 0:
-            break
-        left = open_.join(heads, "bucket").where(F.col("rep") != F.col("c"))
-        left = materialize(left, "dup-left")
-        pairs = left.where(F.col("comp") != F.col("c_comp")).select(F.col("rep").alias("a"), "c").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "c"], "left_anti")
-        pairs = materialize(pairs, "dup-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = materialize(verify(docs, pairs, key, text, width, percent), "dup-verified")
-        links = found if links is None else links.unionByName(found)
+    heads = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("c")).where(F.col("k") > 1).select("bucket", "c")
+    heads = materialize(heads, "dup-heads")
+    # Tables on both sides, so adaptive execution can split a bucket that many texts are in.
+    held = materialize(filed.join(heads, "bucket").where(F.col("rep") != F.col("c")), "dup-held")
+    comps = None
+    pairs = materialize(held.select(F.col("rep").alias("a"), "c").distinct(), "dup-pairs")
+    if pairs.limit(1).count():
+        links = materialize(verify(docs, pairs, key, text, width, percent), "dup-verified")
         comps = components(links)
-        open_ = left.select("bucket", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-        open_ = materialize(open_.select("bucket", "rep", F.coalesce("comp", "rep").alias("comp")), "dup-open")
+        labels = held.select("bucket", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+        open_ = materialize(labels.select("bucket", "rep", F.coalesce("comp", "rep").alias("comp")), "dup-open")
+        # Every pair with a centre was compared; a bucket whose other members are in one component is done.
+        split = open_.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("c")).where(F.col("lo") != F.col("hi")).select("bucket", "c")
+        left = materialize(open_.join(materialize(split, "dup-split"), "bucket"), "dup-left")
+        near = materialize(left.select(F.col("rep").alias("a"), "c").distinct(), "dup-near")
+        if near.limit(1).count():
+            clusters = components(near).select(F.col("id").alias("rep"), F.col("comp").alias("cluster"))
+            sizes = sets.where(F.col("rep").isNotNull()).groupBy("rep").agg(F.max("n").alias("n"))
+            members = left.select("rep", "comp").distinct().join(clusters, "rep").join(sizes, "rep")
+            more = settle(docs, materialize(members, "dup-members"), key, text, width, percent)
+            comps = components(materialize(links.unionByName(more), "dup-links"))
 
     named = sets.select(F.col("sum_a").alias("x"), F.col("sum_b").alias("y"), F.col("n").alias("z"), "rep")
     if comps is not None:
