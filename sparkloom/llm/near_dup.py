@@ -25,8 +25,8 @@ A document's set are its distinct word shingles as 64-bit hashes.
   hopeless pairs away (a likelihood ratio of e^-25), then the full sets, made
   anew from the texts, decide.  A centre's members are dealt over salted groups
   of ``group`` rows, and only the centre's set is held.
-* Components: the verified links are contracted by smallest labels and
-  pointer jumping over tables.
+* Components: the verified links are contracted to smallest neighbours, with
+  pointer jumping, over tables.
 
 Defined results: a null text, or one without words, has an empty set and is
 its own component; fewer words than a shingle make one shingle; a null id
@@ -327,20 +327,30 @@ def settle(docs: DataFrame, members: DataFrame, key: str, text: str, width: int,
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``id, comp`` for every id of ``links`` (columns ``a, c``): the smallest id that is reachable."""
-    both = links.select(F.col("a").alias("id"), F.col("c").alias("other")).unionByName(links.select(F.col("c").alias("id"), F.col("a").alias("other")))
-    both = materialize(both.distinct(), "dup-links")
-    labels = materialize(both.groupBy("id").agg(F.least("id", F.min("other")).alias("comp")), "dup-labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("other"), F.col("comp").alias("theirs")), "other").groupBy("id").agg(F.min("theirs").alias("theirs"))
-        step = labels.join(near, "id").select("id", F.least("comp", "theirs").alias("new"), "comp")
-        # Pointer jumping: a label's own label is at least as small.
-        jump = step.join(labels.select(F.col("id").alias("new"), F.col("comp").alias("far")), "new", "left")
-        new = materialize(jump.select("id", F.least("new", F.coalesce("far", "new")).alias("comp"), F.col("comp").alias("was")), "dup-labels")
-        labels_new = new.select("id", "comp")
-        if new.where(F.col("comp") != F.col("was")).limit(1).count() == 0:
-            return labels_new
-        labels = labels_new
+    """``id, comp`` for every id that is linked with another (columns ``a, c``): the smallest id that is reachable.
+
+    Each round points every node to its smallest neighbour, shortens the paths,
+    and keeps the links between what is left, which shrink by half or more.
+    """
+    a, c = F.col("a"), F.col("c")
+    edges = materialize(links.where(a != c).select(F.greatest(a, c).alias("a"), F.least(a, c).alias("c")).distinct(), "dup-links")
+    labels = links.sparkSession.createDataFrame([], "id long, comp long")
+    while edges.limit(1).count():
+        ends = edges.select(a.alias("id"), c.alias("other")).unionAll(edges.select(c.alias("id"), a.alias("other")))
+        low = materialize(ends.groupBy("id").agg(F.least("id", F.min("other")).alias("comp")), "dup-low")
+        while True:
+            far = low.select(F.col("id").alias("comp"), F.col("comp").alias("far"))
+            jumped = materialize(low.join(far, "comp").select("id", F.col("far").alias("comp"), F.col("comp").alias("was")), "dup-low")
+            low = jumped.select("id", "comp")
+            if jumped.where(F.col("comp") != F.col("was")).limit(1).count() == 0:
+                break
+        x, y = low.select(F.col("id").alias("a"), F.col("comp").alias("x")), low.select(F.col("id").alias("c"), F.col("comp").alias("y"))
+        left = edges.join(x, "a").join(y, "c").where(F.col("x") != F.col("y"))
+        edges = materialize(left.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("c")).distinct(), "dup-links")
+        onward = low.select(F.col("id").alias("comp"), F.col("comp").alias("far"))
+        known = labels.join(onward, "comp", "left").select("id", F.coalesce("far", "comp").alias("comp"))
+        labels = materialize(known.unionByName(low.join(labels.select("id"), "id", "left_anti")), "dup-labels")
+    return labels
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
