@@ -9,7 +9,7 @@ from sparkloom.functions import generators, sqltext
 from sparkloom.operators import sorting
 from sparkloom.plans import introspect
 from sparkloom.session import EngineConfig, read_settings
-from sparkloom.sources import catalog
+from sparkloom.sources import catalog, sinks
 from sparkloom.streaming.bounded import read_bounded, run_bounded
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +95,12 @@ def test_explain_after_run_reads_the_final_plan(spark):
     df = spark.sql("SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey")
     df.collect()
     assert introspect.joins(df)[0].node == "BroadcastHashJoin" and introspect.exchanges(df)
+
+
+def test_bucketed_tables_join_without_an_exchange(spark):
+    a = sinks.write_bucketed(spark.range(1000).selectExpr("id AS k", "id * 2 AS v"), "bucketed_a", 4, "k")
+    b = sinks.write_bucketed(spark.range(0, 2000, 2).selectExpr("id AS k", "id AS w"), "bucketed_b", 4, "k")
+    both = a.hint("merge").join(b, "k")
+    assert introspect.exchanges(both) == [] and introspect.joins(both)[0].node == "SortMergeJoin"
+    assert both.count() == 500
+    spark.sql("DROP TABLE bucketed_a"), spark.sql("DROP TABLE bucketed_b")
