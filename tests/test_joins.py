@@ -152,3 +152,35 @@ def test_salted_join_equals_plain_join(spark):
     for how in ("inner", "left"):
         assert rows(salted_join(l, r, "k", how).select("k", "v", "w")) == rows(l.join(r, "k", how).select("k", "v", "w"))
     assert rebalance(l, 8, "k").count() == 3000
+
+
+def brute(left, right, how, match):
+    pairs = [(l, r) for l in left for r in right if match(l, r)]
+    lonely_l = [l for l in left if not any(match(l, r) for r in right)]
+    lonely_r = [r for r in right if not any(match(l, r) for l in left)]
+    out = {
+        "inner": [l + r for l, r in pairs],
+        "left": [l + r for l, r in pairs] + [l + (N, N) for l in lonely_l],
+        "right": [l + r for l, r in pairs] + [(N, N) + r for r in lonely_r],
+        "full": [l + r for l, r in pairs] + [l + (N, N) for l in lonely_l] + [(N, N) + r for r in lonely_r],
+        "left_semi": [l for l in left if l not in lonely_l],
+        "left_anti": lonely_l,
+        "right_semi": [r for r in right if r not in lonely_r],
+        "right_anti": lonely_r,
+    }
+    return sorted(out[how], key=lambda r: tuple((x is None, x if x is not None else 0) for x in r))
+
+
+@pytest.mark.parametrize("seed, null_safe, residual", [(1, False, False), (2, True, False), (3, False, True), (4, True, True)])
+def test_random_tables_against_brute_force(spark, seed, null_safe, residual):
+    import random
+
+    r = random.Random(seed)
+    make = lambda n: [(r.choice([N, *range(12)]), r.choice([N, *range(6)])) for _ in range(n)]
+    left, right = make(90), make(70)
+    same = lambda a, b: (a == b) if null_safe else (a is not None and a == b)
+    less = lambda a, b: not residual or (a is not None and b is not None and a < b)
+    l, rt = spark.createDataFrame(left, "id int, v int"), spark.createDataFrame(right, "id int, v int")
+    for how in J.JOIN_TYPES:
+        got = rows(J.join(l, rt, "id", how, residual="l.v < r.v" if residual else None, null_safe=null_safe))
+        assert got == brute(left, right, how, lambda a, b: same(a[0], b[0]) and less(a[1], b[1])), how
