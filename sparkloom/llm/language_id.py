@@ -35,6 +35,8 @@ from . import textscan
 from .frames import annotate
 
 UNKNOWN = "und"
+#: Texts are taken together up to so many bytes: each byte makes three n-grams of eight bytes, several times over.
+CHUNK_BYTES = 1 << 18
 LENGTHS = (1, 2, 3)
 _LETTER = np.zeros(256, dtype=np.uint8)
 _LETTER[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -125,7 +127,7 @@ def learn_profiles(
 
         for batch in batches:
             langs = np.array([names.setdefault(x, len(names)) for x in batch.column(1).to_pylist()], dtype=np.int64)
-            for t in textscan.chunks(_lower(batch.column(0))):
+            for t in textscan.chunks(_lower(batch.column(0)), CHUNK_BYTES):
                 gram, owner = grams(t)
                 o, g, n = counted(langs[t.rows][owner], gram)
                 if len(g):
@@ -193,7 +195,7 @@ def identify(
         lettered = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
         langs: list[str] = [UNKNOWN] * len(column)
         scores = np.zeros(len(column))
-        for t in textscan.chunks(_lower(column)):
+        for t in textscan.chunks(_lower(column), CHUNK_BYTES):
             d = distances(t, p)
             if not d.shape[1]:
                 continue

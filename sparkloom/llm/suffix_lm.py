@@ -49,7 +49,7 @@ from .store import materialize
 #: The end of a text, as a hash that is not made from bytes.
 END = np.uint64(0x0123456789ABCDEF)
 _BITS = 13
-_DISTINCT = 1 << 21
+_DISTINCT = 1 << 20
 
 
 def tokens(t: textscan.Texts) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken together until they hold so many bytes; one longer text is taken alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
