@@ -66,7 +66,7 @@ def shingles(t: textscan.Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     h = textscan.Hasher(t.data)(starts, ends)
     n = np.diff(first)
     full = np.zeros(len(h), dtype=np.uint64)
-    for j in range(width):
+    for j in range(min(width, len(h))):
         full[: len(h) - j] += h[j:] * _SHINGLE[j % len(_SHINGLE)] if j < len(_SHINGLE) else textscan.mix(h[j:] + np.uint64(j))
     full = textscan.mix(full)
     parts, sizes = [], np.zeros(len(t) + 1, np.int64)

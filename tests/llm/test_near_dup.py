@@ -73,6 +73,11 @@ def test_shuffled_verification_and_salted_centres(spark):
     assert got == {(a, c) for a, c in pairs if s[a] and s[c] and 100 * len(s[a] & s[c]) >= 80 * len(s[a] | s[c])}
 
 
+def test_chunks_with_fewer_words_than_a_shingle(spark):
+    got = by_id(N.deduplicate(documents(spark, ["a b", "A  b", "b a", "c"]).repartition(4), width=5))
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(4)] == [(1, 0), (1, 0), (1, 2), (1, 3)]
+
+
 def test_sketches_merge_and_estimate():
     g = np.random.default_rng(3)
     e = g.integers(0, 1 << 63, 900).astype(np.uint64)
