@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import textscan
+from . import near_dup, textscan
 from .frames import annotate
 from .store import materialize
 
@@ -116,6 +116,27 @@ def vectors(t: textscan.Texts, lookup: textscan.Lookup) -> tuple[np.ndarray, np.
     return key >> 32, key & 0xFFFFFFFF, n
 
 
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """One of the sample's rows that agree in the smallest hash of their five-word shingles.
+
+    Copies agree in it, near copies almost always.  Left in, the words of one
+    much copied toxic text would all look like marks of toxicity.
+    """
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = np.asarray(b.column("h")).astype(np.int64)
+            for t in textscan.chunks(b.column("t")):
+                elements, first = near_dup.shingles(t, 5)
+                some = np.flatnonzero(np.diff(first))
+                own[t.rows.start + some] = elements[first[some]].view(np.int64)  # shingles are sorted
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], names=[*b.schema.names, "m"])
+
+    marked = rows.mapInArrow(least, "k string, t string, y int, h long, m long")
+    first = marked.groupBy("m").agg(F.min(F.struct("h", "k", "t", "y")).alias("r"))
+    return materialize(first.select("r.k", "r.t", "r.y", "r.h"), "toxic-distinct")
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
@@ -134,9 +155,10 @@ def learn(
     known = known.where(F.col("k").isNotNull() & F.col("y").isin(0, 1)).where(train)
     known = known.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_examples)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k")
-    # Keys may repeat: no more rows than keys were asked for are kept.
-    rows = materialize(rows.select("k", "t", "y", F.xxhash64("k", "t").alias("h")).orderBy("h", "k", "t").limit(max_examples), "toxic-sample")
-    rows = rows.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    rows = materialize(rows.select(F.col("k").cast("string").alias("k"), "t", "y", F.xxhash64("k", "t").alias("h")), "toxic-sample")
+    if rows.count() > max_examples:  # where keys repeat
+        rows = materialize(rows.orderBy("h", "k", "t").limit(max_examples), "toxic-sample")
+    rows = one_of_each(rows).repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -156,7 +178,7 @@ def learn(
                     h, owner = h[order], owner[order]
                     new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else np.zeros(0, np.int64)
                     held.append((h[new], np.ones(len(new), np.int64), y[t.rows][owner[new]]))
-                if len(held) >= 40:
+                if sum(len(x[0]) for x in held[1:]) > 1 << 18:
                     held = [merged()]
         if held and sum(len(x[0]) for x in held):
             h, n, pos = merged()
