@@ -72,7 +72,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_epochs: flo
         if row["open"] == 0:
             break
         new = (total - row["held"]) / row["open"]
-        if new <= rate:
+        if new <= rate * (1 + 1e-12):  # sums may differ in their last bits
             break
         rate = new
     target = F.least(limit, F.lit(rate) * F.col("weight"))
