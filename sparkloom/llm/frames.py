@@ -19,6 +19,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session was set to send texts to Python in small batches.
+
+    Spark's default of 10,000 rows is made for numbers; so many long texts fill
+    hundreds of MB in each of the JVM and Python, for every task.  A value that
+    differs from the default is left alone.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, "1000")
+    return df
+
+
 def annotate(df: DataFrame, fields: T.StructType, fn: Callable[[pa.RecordBatch], list]) -> DataFrame:
     """``df`` with the columns that ``fn`` gives for each Arrow batch.
 
@@ -26,7 +39,7 @@ def annotate(df: DataFrame, fields: T.StructType, fn: Callable[[pa.RecordBatch],
     ``df`` that has the name of a new one (in any letter case) is replaced.
     """
     new = {f.name.lower() for f in fields}
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in new])
+    kept = text_batches(df).select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in new])
     types = [to_arrow_type(f.dataType) for f in fields]
     names = [f.name for f in fields]
 

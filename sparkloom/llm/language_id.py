@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan
-from .frames import annotate
+from .frames import annotate, text_batches
 
 UNKNOWN = "und"
 #: Texts are taken together up to so many bytes: each byte makes three n-grams of eight bytes, several times over.
@@ -108,7 +108,7 @@ def learn_profiles(
     max_languages: int = 1000,
 ) -> Profiles:
     """Profiles of all rows of ``docs`` (those of ``where``) that have a text and a language."""
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    rows = text_batches(docs).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     if where is not None:
         rows = rows.where(where)
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"))

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .frames import fresh
+from .frames import fresh, text_batches
 from .store import left_out, materialize
 
 REGISTERS, BANDS, ROWS = 128, 32, 4
@@ -196,14 +196,14 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     names=["doc_id", "n", "sum_a", "sum_b", "bands"],
                 )
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = text_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, sum_a long, sum_b long, bands array<long>")
 
 
 def _texts(docs: DataFrame, key: str, text: str, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
     """The texts of the rows of ``wanted`` (by ``id``), which is sent to the executors if it was counted to be small."""
     small = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    texts = text_batches(docs).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     return texts.join(F.broadcast(wanted) if small else wanted.hint("merge"), "id")
 
 

@@ -44,6 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
+from .frames import text_batches
 from .store import materialize
 
 #: The end of a text, as a hash that is not made from bytes.
@@ -105,7 +106,7 @@ def _counted(rows: DataFrame, keys) -> DataFrame:
                     yield out(full)
         yield out(tally.merged())
 
-    return rows.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return text_batches(rows).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def _grams(ids: np.ndarray, begin: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -326,7 +327,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                     names=["uid", "doc_id", "n", "known", "base", "more", "h"],
                 )
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = text_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = materialize(rows.mapInArrow(run, "uid long, doc_id long, n long, known long, base double, more double, h long"), "lm-parts")
     tail = parts.where(F.col("h").isNotNull()).select("uid", "n", "h").join(model.counts, "h", "left")
     tail = tail.groupBy("uid").agg(

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import near_dup, textscan
-from .frames import annotate
+from .frames import annotate, text_batches
 from .store import materialize
 
 PREFIXES = (3, 4, 5, 6)
@@ -154,7 +154,7 @@ def learn(
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     known = known.where(F.col("k").isNotNull() & F.col("y").isin(0, 1)).where(train)
     known = known.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_examples)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k")
+    rows = text_batches(docs).select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k")
     rows = materialize(rows.select(F.col("k").cast("string").alias("k"), "t", "y", F.xxhash64("k", "t").alias("h")), "toxic-sample")
     if rows.count() > max_examples:  # where keys repeat
         rows = materialize(rows.orderBy("h", "k", "t").limit(max_examples), "toxic-sample")

@@ -43,6 +43,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .frames import text_batches
 from .store import materialize
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -193,7 +194,7 @@ def write_archive(
 ) -> DataFrame:
     """Write ``pages`` below ``path`` and return the manifest table."""
     spark = pages.sparkSession
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
+    rows = text_batches(pages).select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("len", F.octet_length("payload").cast("long"))
     narrow = materialize(rows.select("key", "digest", "len"), "warc-narrow")
     decisions = revisits(narrow, min_revisit_bytes)
