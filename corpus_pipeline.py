@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of two or more benchmark items."""
+    """Documents without a passage of any benchmark item."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

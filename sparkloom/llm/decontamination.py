@@ -163,9 +163,9 @@ def contamination(
     return out.withColumn("contaminated", F.col("n_items") >= min_items)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", width: int = 8, min_items: int = 2) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated."""
-    found = contamination(docs.select(key, text), benchmark, key, text, width, min_items).where("contaminated")
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", width: int = 8) -> DataFrame:
+    """The rows of ``docs`` without a hit; one window of one item, with an id or not, is enough."""
+    found = contamination(docs.select(key, text), benchmark, key, text, width).where("n_hit > 0")
     names = [fresh(docs, "d"), fresh(docs, "tag")]
     gone = materialize(found.select("d", "tag").distinct().toDF(*names), "decon-gone")
     d, tag = document_key(F.col(key), F.col(text))

@@ -90,3 +90,16 @@ def test_run_on_small_tables_and_odd_documents(spark, folder, tmp_path):
             docs = spark.read.parquet(out)
         assert (docs.count() > 0) == (some is odd)
     assert os.path.exists(tmp_path)
+
+
+def test_stage_drops_leaks_of_a_single_item(spark, tmp_path):
+    r = rng(78)
+    items = [prose(r, words=20) for _ in range(6)]
+    clean = [prose(r, words=r.randint(30, 90)) for _ in range(40)]
+    whole = [f"{prose(r, words=20)} {i.upper()} {prose(r, words=20)}" for i in items]
+    part = [f"{prose(r, words=20)} {' '.join(i.split()[5:13])}" for i in items]
+    short = [" ".join(i.split()[5:12]) for i in items]
+    texts = clean + short + whole + part
+    spark.createDataFrame([*enumerate(items[:5]), (None, items[5])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {x["doc_id"] for x in P.drop_contaminated(spark, documents(spark, texts), str(tmp_path)).collect()}
+    assert kept == set(range(len(clean) + len(short)))
