@@ -63,6 +63,26 @@ def join_null_safe(t):
     return J.join(*_null_sides(t), ("k", "sk"), "full", null_safe=True)
 
 
+# Null keys over the whole tables: any number of them where nulls match nothing, one customer's where they match.
+_WL = "(SELECT c_custkey AS id, CASE WHEN c_nationkey <> 3 THEN c_custkey END AS k FROM customer)"
+_WR = "(SELECT o_orderkey AS oid, CASE WHEN o_orderkey % 10 <> 7 THEN o_custkey END AS ok FROM orders)"
+_SL = "(SELECT c_custkey AS id, nullif(c_custkey, 4) AS k FROM customer)"
+
+
+@R.frame(f"SELECT * FROM {_WL} l FULL JOIN {_WR} r ON k = ok")
+def join_null_keys_whole(t):
+    l = t.customer.selectExpr("c_custkey AS id", "CASE WHEN c_nationkey <> 3 THEN c_custkey END AS k")
+    r = t.orders.selectExpr("o_orderkey AS oid", "CASE WHEN o_orderkey % 10 <> 7 THEN o_custkey END AS ok")
+    return J.join(l, r, ("k", "ok"), "full")
+
+
+@R.frame(f"SELECT * FROM {_SL} l FULL JOIN {_WR} r ON k IS NOT DISTINCT FROM ok")
+def join_null_safe_whole(t):
+    l = t.customer.selectExpr("c_custkey AS id", "nullif(c_custkey, 4) AS k")
+    r = t.orders.selectExpr("o_orderkey AS oid", "CASE WHEN o_orderkey % 10 <> 7 THEN o_custkey END AS ok")
+    return J.join(l, r, ("k", "ok"), "full", null_safe=True)
+
+
 @R.frame("SELECT c_custkey, s_suppkey, c_nationkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 10 = s_suppkey % 10")
 def join_composite(t):
     l, r = t.customer.select("c_custkey", "c_nationkey"), t.supplier.select("s_suppkey", "s_nationkey")

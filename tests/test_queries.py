@@ -38,3 +38,11 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_null_key_joins_take_whole_tables(spark):
+    sides = {t: {r[0] for r in spark.read.parquet(f"{SF}/{t}.parquet").select(k).collect()} for t, k in (("customer", "c_custkey"), ("orders", "o_orderkey"))}
+    for name in ("join_null_keys_whole", "join_null_safe_whole"):
+        rows = QUERIES[name](spark, SF).collect()
+        assert {r["id"] for r in rows} - {None} == sides["customer"] and {r["oid"] for r in rows} - {None} == sides["orders"]
+        assert any(r["id"] is not None and r["k"] is None for r in rows) and any(r["oid"] is not None and r["ok"] is None for r in rows)
