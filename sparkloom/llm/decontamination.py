@@ -10,8 +10,10 @@ Everything is DataFrame functions; no Python runs on the executors.
    stored: word, document, position, and the words around the position, which
    are what the lists of the other words have at the adjusted offsets.
 4. A phrase's list is intersected with those of its other words by comparing
-   the neighbours at the adjusted offsets, which gives every exact match;
-   ``near_matches`` does it with any order and gaps, for proximity.
+   the neighbours at the adjusted offsets, which gives every exact match.
+   Proximity, in any order and with gaps, is asked for by ``near_share``: a
+   phrase is then looked up by so many of its rarest words that one has to be
+   among any words that make up the share (``near_lookup``).
 5. Matches become the union of hit positions and the items, document by
    document.
 
@@ -82,19 +84,36 @@ def document_key(doc: Column, text: Column) -> tuple[Column, Column]:
     return F.coalesce(doc.cast("long"), F.lit(-1)).alias("d"), F.xxhash64(text).alias("tag")
 
 
-def lookup_terms(docs: DataFrame, test: Phrases, text: str, broadcast_rows: int) -> DataFrame:
-    """``phrase, words, n, term, place``: each phrase that can occur with its rarest word and that word's place."""
-    placed = materialize(test.windows.select("phrase", "words", "n", F.posexplode("words").alias("place", "term")), "decon-placed")
+def _rated(docs: DataFrame, placed: DataFrame, text: str, broadcast_rows: int) -> DataFrame:
+    """``placed`` with ``df``, how often its ``term`` stands in the texts."""
+    placed = materialize(placed, "decon-placed")
     known = placed.select("term").distinct()
     tokens = docs.select(F.explode(words(F.col(text))).alias("term"))
     counts = tokens.join(_sent(known, broadcast_rows), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     counts = materialize(counts, "decon-counts")
-    rated = placed.join(counts, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    return placed.join(counts, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+
+
+def lookup_terms(docs: DataFrame, test: Phrases, text: str, broadcast_rows: int) -> DataFrame:
+    """``phrase, words, n, term, place``: each phrase that can occur with its rarest word and that word's place."""
+    placed = test.windows.select("phrase", "words", "n", F.posexplode("words").alias("place", "term"))
+    rated = _rated(docs, placed, text, broadcast_rows)
     best = rated.groupBy("phrase").agg(F.first("words").alias("words"), F.first("n").alias("n"), F.min(F.struct("df", "place", "term")).alias("m"))
     # A word that no text has rules its phrase out.
     return materialize(best.where(F.col("m.df") > 0).select("phrase", "words", "n", F.col("m.term").alias("term"), F.col("m.place").alias("place")), "decon-lookup")
 
 
+def near_lookup(docs: DataFrame, test: Phrases, text: str, min_share: float, broadcast_rows: int) -> DataFrame:
+    """``phrase, words, term``: each phrase with its rarest words that occur, so many that ``min_share`` of its words can't do without all of them."""
+    split = test.windows.select("phrase", "words", F.explode(F.array_distinct("words")).alias("term"))
+    rated = _rated(docs, split, text, broadcast_rows).where(F.col("df") > 0)
+    least = F.greatest(F.ceil(F.size(F.array_distinct("words")) * F.lit(min_share) - F.lit(1e-9)), F.lit(1))
+    one = Window.partitionBy("phrase")
+    rated = rated.withColumn("rank", F.row_number().over(one.orderBy("df", "term"))).withColumn("present", F.count(F.lit(1)).over(one))
+    # Words that no text has are missing everywhere; what is left of the share may miss that many fewer.
+    return materialize(rated.where(F.col("rank") <= F.col("present") - least + 1).select("phrase", "words", "term"), "decon-near-lookup")
+
+
 def postings(docs: DataFrame, lookup: DataFrame, text: str, key: str, reach: int, broadcast_rows: int) -> DataFrame:
     """The stored index: ``term, d, tag, pos, around, lead``; ``lead`` words of ``around`` stand before the position."""
     d, tag = document_key(F.col(key), F.col(text))
@@ -138,8 +157,13 @@ def contamination(
     width: int = 8,
     min_items: int = 2,
     broadcast_rows: int = 200_000,
+    near_share: float | None = None,
 ) -> DataFrame:
-    """For every row of ``docs``: ``d, tag, doc_id, n_words, n_hit, n_items, items, contaminated``."""
+    """For every row of ``docs``: ``d, tag, doc_id, n_words, n_hit, n_items, items, contaminated``.
+
+    With ``near_share`` also ``n_near, near_items``: the items of whose windows
+    that share of the distinct words stands around a place, in any order.
+    """
     test = phrases(benchmark, width=width)
     lookup = lookup_terms(docs, test, text, broadcast_rows)
     index = postings(docs, lookup, text, key, width - 1, broadcast_rows)
@@ -151,7 +175,13 @@ def contamination(
     hits = spans.groupBy("d", "tag").agg(F.sum(new).cast("long").alias("n_hit"))
     named = matches.select("d", "tag", "phrase").distinct().join(_sent(test.items.where(F.col("item_id").isNotNull()), broadcast_rows), "phrase")
     per = named.groupBy("d", "tag").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    found = materialize(hits.join(per, ["d", "tag"], "left"), "decon-found")
+    found = hits.join(per, ["d", "tag"], "left")
+    if near_share is not None:
+        spots = near_lookup(docs, test, text, near_share, broadcast_rows)
+        close = near_matches(postings(docs, spots, text, key, width - 1, broadcast_rows), spots, near_share, broadcast_rows)
+        close = close.select("d", "tag", "phrase").distinct().join(_sent(test.items.where(F.col("item_id").isNotNull()), broadcast_rows), "phrase")
+        found = found.join(close.groupBy("d", "tag").agg(F.collect_set(F.col("item_id").cast("string")).alias("near_items")), ["d", "tag"], "full")
+    found = materialize(found, "decon-found")
 
     d, tag = document_key(F.col(key), F.col(text))
     n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long")
@@ -160,6 +190,8 @@ def contamination(
     items = F.sort_array(F.coalesce("items", F.array().cast("array<string>")))
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", items)
     out = out.withColumn("n_items", F.size("items").cast("long"))
+    if near_share is not None:
+        out = out.withColumn("near_items", F.sort_array(F.coalesce("near_items", F.array().cast("array<string>")))).withColumn("n_near", F.size("near_items").cast("long"))
     return out.withColumn("contaminated", F.col("n_items") >= min_items)
 
 

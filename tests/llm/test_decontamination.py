@@ -100,3 +100,61 @@ def test_repeated_ids_null_ids_empty_tables_and_clashes(spark):
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
     assert F is not None
+
+
+def brute_near(texts, items, share, width=8):
+    """Items of whose windows ``share`` of the distinct words stand around one of the window's words."""
+    out = []
+    for t in texts:
+        w = ALNUM.findall(lower(t))
+        names = set()
+        for i, x in items:
+            v = ALNUM.findall(lower(x))
+            for a in range(max(1, len(v) - width + 1)) if v and i is not None else ():
+                p = set(v[a : a + width])
+                if any(w[k] in p and len(p & set(w[max(k - width + 1, 0) : k + width])) / len(p) >= share for k in range(len(w))):
+                    names.add(str(i))
+        out.append(names)
+    return out
+
+
+def strict_near(texts, items, share, width=8):
+    """The same within ``width`` successive words, which has to be found whatever word is gone."""
+    out = []
+    for t in texts:
+        w = ALNUM.findall(lower(t))
+        names = set()
+        for i, x in items:
+            v = ALNUM.findall(lower(x))
+            for a in range(max(1, len(v) - width + 1)) if v and i is not None else ():
+                p = set(v[a : a + width])
+                if any(len(p & set(w[k : k + width])) / len(p) >= share for k in range(len(w))):
+                    names.add(str(i))
+        out.append(names)
+    return out
+
+
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_altered_passages_are_near_whatever_word_is_gone(spark, rows):
+    passage = "one two three four five six seven eight"
+    w = passage.split()
+    texts = ["nothing here", passage, " ".join(reversed(w))]
+    texts += [" ".join([*w[:k], "zzz", *w[k + 1 :]]) for k in range(8)] + [" ".join(w[:k] + w[k + 1 :]) for k in range(8)]
+    texts += [" ".join(x for x in w if x not in (w[k], w[(k + 3) % 8])) for k in range(8)] + [" ".join(w[:5])]
+    # One word of the last item is in no text.
+    items = [(1, passage), (2, "nothing else is in this other item at all"), (3, "one two three four five six seven unheard"), (None, passage)]
+    docs, bench = frame(spark, texts, items)
+    got = {r["doc_id"]: r for r in D.contamination(docs, bench, near_share=0.75, broadcast_rows=rows).collect()}
+    assert len(got) == len(texts) and "1" in got[1]["near_items"]
+    assert all("1" in got[i]["near_items"] and got[i]["n_hit"] == (8 if i == 1 else 0) for i in range(1, len(texts) - 1))
+    assert not got[0]["n_near"] and not got[len(texts) - 1]["n_near"] and "3" in got[1]["near_items"]
+
+
+def test_near_items_lie_between_two_brute_forces(spark, data):
+    texts, items = data
+    got = {r["doc_id"]: r for r in D.contamination(*frame(spark, texts, items), near_share=0.75).collect()}
+    most, least = brute_near(texts, items, 0.75), strict_near(texts, items, 0.75)
+    for i in range(len(texts)):
+        near = set(got[i]["near_items"])
+        assert least[i] <= near <= most[i] and set(got[i]["items"]) <= near and got[i]["n_near"] == len(near)
+    check(list(got.values()), texts, items)
