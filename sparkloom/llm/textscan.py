@@ -124,6 +124,35 @@ class Hasher:
         return mix(h)
 
 
+def word_hashes(t: Texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of texts in lower case, and for each text the index of its first word (one more at the end).
+
+    A long text is hashed piece by piece, cut where no word is, so that what is
+    held beside the hashes depends on a piece and on the longest word only.
+    """
+    if len(t.data) <= 2 * CHUNK_BYTES:
+        starts, ends, first = word_spans(t, table)
+        return (Hasher(t.data)(starts, ends) if len(starts) else np.zeros(0, np.uint64)), first
+    out, sizes = [], np.zeros(len(t) + 1, np.int64)
+    for i in range(len(t)):
+        lo, end = int(t.offsets[i]), int(t.offsets[i + 1])
+        while lo < end:
+            hi = min(lo + CHUNK_BYTES, end)
+            while hi < end:  # on to the next byte that is in no word
+                gap = np.flatnonzero(~table[t.data[hi : hi + CHUNK_BYTES]])
+                if len(gap):
+                    hi += int(gap[0])
+                    break
+                hi = min(hi + CHUNK_BYTES, end)
+            piece = Texts(t.data[lo:hi], np.array([0, hi - lo]), slice(0, 1))
+            starts, ends, _ = word_spans(piece, table)
+            if len(starts):
+                out.append(Hasher(piece.data)(starts, ends))
+                sizes[i + 1] += len(starts)
+            lo = hi
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.cumsum(sizes)
+
+
 def hash_of(text: bytes) -> int:
     """The hash that ``Hasher`` gives to these bytes."""
     data = np.frombuffer(text, dtype=np.uint8)
