@@ -6,29 +6,35 @@ end for each text.
 * Unigrams: exact counts of all training tokens, summed in each task and then
   by one shuffle; the table has a row for each distinct token and stays
   distributed.
-* Contexts of 1 to ``depth`` tokens are counted over all training texts where
-  their tokens are among the most frequent (``symbols``), together with what
-  follows them.  A context counts if it makes up ``context_share`` of all
-  tokens, a follower if it makes up ``follower_share``; since shares add up to
-  one, the tree has at most depth / share entries whatever the corpus.
-* A context stays in the tree if it predicts better than its longest shorter
-  suffix in the tree by more than its parameters cost: count times divergence
-  against 0.5 ln(count) for each follower.  Shorter suffixes of what stays stay.
+* Contexts of 1 to ``depth`` tokens are counted level by level over all
+  training texts, with what follows them.  The tree is bounded by absolute
+  counts alone: a context occurs ``min_context`` times or more, a follower
+  ``min_follower`` times or more after it, so the tree grows with the corpus.
+  A context of n + 1 tokens can only be that frequent if its last n tokens with
+  the token before them were, which the level before has counted.
+* A context is retained if it predicts better than its longest shorter suffix
+  by more than its parameters cost: count times divergence against
+  0.5 ln(count) for each follower.  Suffixes of what is retained stay.
 * Next-token distributions are smoothed by absolute discounting; the mass
   saved goes to the distribution of the next shorter suffix, renormalised over
   the tokens that the longer one lacks, down to the unigrams.
 * A text is scored token by token in the state of the longest suffix in the
   tree.
 
-What a state adds to a token's unigram score depends only on the bounded tree,
-so scoring reads a text once.  Frequent tokens' counts go along (at most
-``head`` words); for the others a text sends one row for each distinct token
-to the count table, by a shuffle.  These are, by the choice of the head, words
-of bounded frequency, so no word is hot.
+The tree is a table ``h, v`` that stays distributed.  As a follower of a
+context is one of all its suffixes too, what a token's states add to its
+unigram score is a sum over its contexts: ``v`` of each state (the mass left
+over) and ``v`` of each (state, token) pair (its log-ratio, less what the next
+shorter pair gave).  So scoring needs no walk: it sums the values of the keys
+that the table has.  The values that are wanted most often go along with the
+code (at most ``head``), unigram counts alike; for the others a text sends one
+row for each distinct key to the tables, by a shuffle.  A bitmap of bounded
+size tells most absent keys.
 
 Defined results: a null text is empty and has the end as its only token;
 without training texts every token's base probability is that of an unknown
-one; rows are scored on their own, so repeated rows and null ids stay.
+one; rows are scored on their own, so repeated rows and null ids stay.  Ids may
+be of any type.
 """
 
 from __future__ import annotations
@@ -42,197 +48,265 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textscan
-from .frames import text_batches
 from .store import materialize
 
 #: The end of a text, as a hash that is not made from bytes.
 END = np.uint64(0x0123456789ABCDEF)
-_BITS = 13
 _DISTINCT = 1 << 20
+#: Bits of a bitmap of the keys in a table: 1 MB in memory, however many keys there are.
+FILTER_BITS = 23
+_BASE, _PAIR = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
+#: Tokens whose contexts are looked at together.
+SLICE = 1 << 18
 
 
 def tokens(t: textscan.Texts) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens with an end after each text, and where each text's begin."""
-    t = t.lowered()
-    starts, ends, first = textscan.word_spans(t, textscan.SPACED)
-    h = np.full(len(starts) + len(t), END, dtype=np.uint64)
+    words, first = textscan.word_hashes(t.lowered(), textscan.SPACED)
+    h = np.full(len(words) + len(t), END, dtype=np.uint64)
     begin = first + np.arange(len(t) + 1)
-    if len(starts):
-        h[np.arange(len(starts)) + np.repeat(np.arange(len(t)), np.diff(first))] = textscan.Hasher(t.data)(starts, ends)
+    if len(words):
+        h[np.arange(len(words)) + np.repeat(np.arange(len(t)), np.diff(first))] = words
     return h, begin
 
 
+def scattered(token: np.ndarray) -> np.ndarray:
+    """What a token adds to the key of a context, before its place is counted in."""
+    return textscan.mix(token + np.uint64(1))
+
+
+def led_by(context: np.ndarray, follower: np.ndarray) -> np.ndarray:
+    """The key of a context moved on by one token: the sum over its tokens, the nearest first, times powers of a base."""
+    return scattered(follower) + context * _BASE
+
+
+def pair(context: np.ndarray, follower: np.ndarray) -> np.ndarray:
+    """The key of a context with what follows it."""
+    return textscan.mix((context ^ _PAIR) * _PAIR + follower)
+
+
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Where, in sorted rows, a new value begins."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 class Tally:
-    """Counts of 64-bit keys; ``add`` gives back what has to leave so that memory stays bounded."""
+    """Counts of 64-bit keys, each with a row of other columns that it stands for; ``add`` gives back what has to leave."""
 
     def __init__(self, most: int = _DISTINCT):
         self.most, self.held, self.size = most, [], 0
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+    def merged(self) -> list[np.ndarray]:
         if not self.held:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        key = np.concatenate([k for k, _ in self.held])
-        n = np.concatenate([c for _, c in self.held])
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        return key[first], (np.add.reduceat(n, first) if len(first) else n)
-
-    def add(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        key = np.sort(keys)
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.held.append((key[first], np.diff(np.append(first, len(key)))))
+            return []
+        cols = [np.concatenate(c) for c in zip(*self.held, strict=True)]
+        order = np.argsort(cols[0], kind="stable")
+        first = runs(key := cols[0][order])
+        return [key[first], np.add.reduceat(cols[1][order], first) if len(first) else cols[1], *(c[order[first]] for c in cols[2:])]
+
+    def add(self, key: np.ndarray, *more: np.ndarray) -> list[np.ndarray] | None:
+        order = np.argsort(key, kind="stable") if more else None
+        key = key[order] if more else np.sort(key)
+        first = runs(key)
+        self.held.append([key[first], np.diff(np.append(first, len(key))), *(m[order[first]] for m in more)])
         self.size += len(first)
         if self.size > self.most:
-            key, n = self.merged()
-            if len(key) > self.most // 2:
+            got = self.merged()
+            if len(got[0]) > self.most // 2:
                 self.held, self.size = [], 0
-                return key, n
-            self.held, self.size = [(key, n)], len(key)
+                return got
+            self.held, self.size = [got], len(got[0])
         return None
 
 
-def _counted(rows: DataFrame, keys) -> DataFrame:
-    """``h, c``: how often ``keys(texts)`` gives each key, over all rows."""
+class Bitmap:
+    """Whether a key may be in a table: no false absence."""
+
+    def __init__(self, slots: np.ndarray, bits: int = FILTER_BITS):
+        self.shift = np.uint64(64 - bits)
+        flags = np.zeros(1 << bits, dtype=bool)
+        flags[slots] = True
+        self.packed = np.packbits(flags, bitorder="little")
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        slot = h >> self.shift
+        return self.packed[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0
+
+
+def bitmap(keys: DataFrame, name: str = "h") -> Bitmap:
+    """Of a table's keys: at most 2^FILTER_BITS numbers come to the driver."""
+    slots = keys.select(F.shiftrightunsigned(name, 64 - FILTER_BITS).cast("int").alias("s")).distinct().toArrow()
+    return Bitmap(np.asarray(slots["s"], dtype=np.int64))
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
+
+
+def _counted(rows: DataFrame, keys, columns: list[str]) -> DataFrame:
+    """``columns`` and ``c``: how often the arrays that ``keys(texts)`` gives, a key and what it stands for, have each, over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
-        out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1].astype(np.int64))], names=["h", "c"])
+        # The key itself goes out only where it stands for nothing else.
+        out = lambda x: pa.RecordBatch.from_arrays([_signed(a) for a in (x[2:] or x[:1])] + [_signed(x[1])], names=[*columns, "c"])
         for b in batches:
             for t in textscan.chunks(b.column(0)):
-                if (full := tally.add(keys(t))) is not None:
-                    yield out(full)
-        yield out(tally.merged())
+                for arrays in keys(t):
+                    if (full := tally.add(*arrays)) is not None:
+                        yield out(full)
+        if last := tally.merged():
+            yield out(last)
+
+    schema = ", ".join(f"{c} long" for c in [*columns, "c"])
+    return rows.mapInArrow(run, schema).groupBy(*columns).agg(F.sum("c").alias("c"))
+
+
+def contexts(h: np.ndarray, begin: np.ndarray, lo: int, hi: int, depth: int, known=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length: the places from ``lo`` to ``hi`` whose context of that length lies in their text, and its key.
+
+    ``known(n, keys)`` tells which keys may be contexts of n tokens; places
+    without go no further.
+    """
+    at = np.arange(lo, hi)
+    start = begin[np.searchsorted(begin, at, "right") - 1]
+    key = np.zeros(len(at), dtype=np.uint64)
+    power = np.uint64(1)
+    for n in range(1, depth + 1):
+        ok = at - start >= n
+        at, start, key = at[ok], start[ok], key[ok]
+        key = key + scattered(h[at - n]) * power
+        power = np.uint64(int(power) * int(_BASE) & 0xFFFFFFFFFFFFFFFF)
+        if known is not None:
+            ok = known(n, key)
+            at, start, key = at[ok], start[ok], key[ok]
+        yield at, key
 
-    return text_batches(rows).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
+def _extended(rows: DataFrame, name: str) -> DataFrame:
+    """``ctx, shorter, total`` of the contexts that rows of ``ctx, shorter, x, c`` make when their follower joins them."""
 
-def _grams(ids: np.ndarray, begin: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each length: places whose context of that length is known symbols of the same text, and the context's code."""
-    place = np.arange(len(ids)) - np.repeat(begin[:-1], np.diff(begin))
-    at = np.arange(len(ids))
-    code = np.zeros(len(ids), dtype=np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ctx, shorter, x = (np.asarray(b.column(c), dtype=np.int64).view(np.uint64) for c in ("ctx", "shorter", "x"))
+            # A context of one token has the empty one as its next shorter, and that stays empty.
+            short = np.where(ctx == 0, np.uint64(0), led_by(shorter, x))
+            yield pa.RecordBatch.from_arrays([_signed(led_by(ctx, x)), _signed(short), b.column("c")], names=["ctx", "shorter", "total"])
+
+    return materialize(rows.select("ctx", "shorter", "x", "c").mapInArrow(run, "ctx long, shorter long, total long"), name)
+
+
+def grow(rows: DataFrame, counts: DataFrame, divisor: float, depth: int, min_context: int, min_follower: int, discount: float = 0.75) -> DataFrame | None:
+    """The tree as ``h, v, c``, ``c`` being how often the key occurs; ``h, c`` of ``counts`` are the unigrams of ``rows``."""
+    context = rows.sparkSession.sparkContext
+    follows = context.broadcast(bitmap(counts.where(F.col("c") >= min_follower)))
+    base = (F.ln(F.col("c") + 0.5) - F.lit(math.log(divisor))).alias("base")
+    below = counts.where(F.col("c") >= min_follower).select(F.lit(0).cast("long").alias("shorter"), F.col("h").alias("x"), base, base.alias("lower"))
+    end = int(END)
+    found = counts.select(F.lit(0).cast("long").alias("ctx"), F.lit(0).cast("long").alias("shorter"), F.col("h").alias("x"), "c")
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    filters: list[Bitmap] = []
     for n in range(1, depth + 1):
-        ok = (place[at] >= n) & (ids[at - n] >= 0)
-        at, code = at[ok], code[ok]
-        # The symbol next to the token is in the lowest bits, older ones above; 0 stands for none.
-        code = code | (ids[at - n] + 1).astype(np.uint64) << np.uint64(_BITS * (n - 1))
-        yield n, at, code
+        # A follower, an end aside, makes a context with those that it follows, and occurs as often as that one.
+        heads = _extended(found.where((F.col("c") >= min_context) & (F.col("x") != end)), f"lm-contexts{n}")
+        if not heads.limit(1).count():
+            break
+        filters.append(bitmap(heads, "ctx"))
+        spread = context.broadcast(list(filters))
+
+        def grams(t: textscan.Texts, n=n, spread=spread) -> Iterator[list[np.ndarray]]:
+            h, begin = tokens(t)
+            for lo in range(0, len(h), SLICE):
+                *_, (at, key) = contexts(h, begin, lo, min(lo + SLICE, len(h)), n, lambda m, k: spread.value[m - 1](k))
+                ok = follows.value(h[at])
+                at, key = at[ok], key[ok]
+                yield [pair(key, h[at]), key, h[at]]
+
+        # What the bitmaps let through by chance goes here: counts and contexts are exact.
+        found = _counted(rows, grams, ["ctx", "x"]).where(F.col("c") >= min_follower)
+        found = materialize(found.join(heads, "ctx"), f"lm-followers{n}")
+        # A follower of a context follows its suffixes too, so the level below has a row for each.
+        measured = found.join(below, ["shorter", "x"])
+        measured = materialize(measured.withColumn("own", F.ln((F.col("c") - F.lit(discount)) / F.col("total"))), f"lm-measured{n}")
+        per = measured.groupBy("ctx").agg(
+            F.first("shorter").alias("shorter"), F.first("total").alias("total"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("counted"),
+            F.sum(F.col("c") * (F.ln(F.col("c") / F.col("total")) - F.col("lower"))).alias("gain"),
+            F.sum(F.exp("own")).alias("own"), F.sum(F.exp("lower")).alias("lower"),
+        )
+        # Followers that were not counted are one more outcome.
+        left, over = F.col("total") - F.col("counted"), F.greatest(1 - F.col("lower"), F.lit(1e-9))
+        rest = F.when(left > 0, left * (F.ln(left / F.col("total")) - F.ln(over))).otherwise(F.lit(0.0))
+        passed = F.col("gain") + rest > F.lit(0.5) * F.col("k") * F.ln("total")
+        mass = F.log10(F.greatest(1 - F.col("own"), F.lit(1e-9)) / over)
+        levels.append((materialize(per.select("ctx", "shorter", "total", passed.alias("passed"), mass.alias("rest")), f"lm-states{n}"), measured))
+        below = measured.select(F.col("ctx").alias("shorter"), "x", "base", F.col("own").alias("lower"))
+
+    # From the longest on: a state stays if it passed or is a suffix of one that stays.
+    values, needed = None, None
+    for per, measured in reversed(levels):
+        keep = F.col("passed")
+        if needed is not None:
+            per = per.join(needed, "ctx", "left")
+            keep = keep | F.coalesce("needed", F.lit(False))
+        kept = materialize(per.where(keep).select("ctx", "shorter", "total", "rest"), "lm-kept")
+        needed = kept.select(F.col("shorter").alias("ctx")).distinct().withColumn("needed", F.lit(True))
+        pairs = measured.select("ctx", "x", "c", "own", "lower").join(kept.select("ctx", "rest"), "ctx")
+        # A pair takes back the mass that its own state leaves to others.
+        value = (F.col("own") - F.col("lower")) / F.lit(math.log(10)) - F.col("rest")
+        part = kept.select("ctx", F.lit(None).cast("long").alias("x"), F.col("rest").alias("v"), F.col("total").alias("c"))
+        part = part.unionAll(pairs.select("ctx", "x", value.alias("v"), "c"))
+        values = part if values is None else values.unionAll(part)
+    if values is None:
+        return None
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ctx = np.asarray(b.column(0), dtype=np.int64).view(np.uint64)
+            state = b.column(1).is_null().to_numpy(zero_copy_only=False)
+            x = np.asarray(b.column(1).fill_null(0), dtype=np.int64).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([_signed(np.where(state, ctx, pair(ctx, x))), b.column(2), b.column(3)], names=["h", "v", "c"])
 
-def _pair(code: np.ndarray, follower: np.ndarray) -> np.ndarray:
-    """A context and what follows: 0 for anything, else a symbol's number plus 1."""
-    return code << np.uint64(_BITS) | follower.astype(np.uint64)
+    return materialize(values.mapInArrow(keyed, "h long, v double, c long"), "lm-tree")
 
 
-@dataclass
-class Tree:
-    symbols: textscan.Lookup
-    contexts: textscan.Lookup  # codes of the states, longest first in no order
-    rest: np.ndarray  # log10 of the mass left to the shorter suffix, by state
-    shorter: np.ndarray  # the next shorter state, -1 for the unigrams
-    pairs: textscan.Lookup  # state << _BITS | follower, mixed
-    gain: np.ndarray  # log10 of probability over unigram probability, by pair
-    depth: int
+def most_frequent(table: DataFrame, most: int) -> tuple[pa.Table, DataFrame | None]:
+    """At most ``most`` rows of the largest ``c``, and a table of the others, if any.
 
-    def gains(self, h: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """What the tree adds to each token's unigram score."""
-        out = np.zeros(len(h))
-        if not len(self.rest):
-            return out
-        ids = self.symbols(h)
-        state = np.full(len(h), -1, dtype=np.int64)
-        for _, at, code in _grams(ids, begin, self.depth):
-            s = self.contexts(textscan.mix(code))
-            state[at[s >= 0]] = s[s >= 0]  # longer contexts come later
-        at = np.flatnonzero(state >= 0)
-        state = state[at]
-        while len(at):
-            pair = self.pairs(textscan.mix(state.astype(np.uint64) << np.uint64(_BITS) | (ids[at] + 1).astype(np.uint64)))
-            pair[ids[at] < 0] = -1
-            hit = pair >= 0
-            out[at[hit]] += self.gain[pair[hit]]
-            at, state = at[~hit], state[~hit]
-            out[at] += self.rest[state]
-            state = self.shorter[state]
-            on = state >= 0
-            at, state = at[on], state[on]
-        return out
-
-
-def build_tree(symbols: np.ndarray, unigram: np.ndarray, key: np.ndarray, count: np.ndarray, depth: int, discount: float = 0.75) -> Tree:
-    """``unigram``: probabilities of the symbols; ``key, count``: packed contexts with followers, all contexts' totals among them."""
-    mask = np.uint64((1 << _BITS) - 1)
-    order = np.argsort(key)
-    key, count = key[order], count[order].astype(float)
-    code, follower = key >> np.uint64(_BITS), (key & mask).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-    rows = {}
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(code)], strict=False):
-        if follower[a] == 0 and b - a > 1:  # the total, and followers
-            rows[int(code[a])] = (count[a], follower[a + 1 : b] - 1, count[a + 1 : b])
-    length = lambda c: (c.bit_length() + _BITS - 1) // _BITS
-    cut = lambda c: c & ((1 << _BITS * (length(c) - 1)) - 1)  # noqa: E731  without the oldest symbol
-    states: dict[int, tuple[int, float, dict[int, float]]] = {}  # code: (shorter state's code, mass left over, probabilities)
-
-    def probability(state: int, x: int) -> float:
-        p = 1.0
-        while state:
-            shorter, rest, own = states[state]
-            if x in own:
-                return p * own[x]
-            p, state = p * rest, shorter
-        return p * unigram[x]
-
-    def smoothed(c: int, parent: int) -> None:
-        total, xs, ns = rows[c]
-        own = {int(x): (n - discount) / total for x, n in zip(xs, ns, strict=True) if n > discount}
-        lower = sum(probability(parent, x) for x in own)
-        states[c] = (parent, max(1 - sum(own.values()), 1e-9) / max(1 - lower, 1e-9), own)
-
-    def nearest(c: int) -> int:
-        while c and c not in states:
-            c = cut(c)
-        return c
-
-    for c in sorted(rows, key=lambda c: (length(c), c)):
-        total, xs, ns = rows[c]
-        parent = nearest(cut(c))
-        q = np.array([probability(parent, int(x)) for x in xs])
-        # Followers that were not counted are one more outcome.
-        left = max(total - ns.sum(), 0.0)
-        worth = float((ns * np.log(ns / total / q)).sum()) + (left * math.log(left / total / max(1 - q.sum(), 1e-9)) if left else 0.0)
-        if worth > 0.5 * len(xs) * math.log(total):
-            path, at = [], cut(c)  # shorter suffixes that did not pass alone stay as well
-            while at and at not in states and at in rows:
-                path.append(at)
-                at = cut(at)
-            for s in [*reversed(path), c]:
-                smoothed(s, nearest(cut(s)))
-    codes = sorted(states)
-    index = {c: i for i, c in enumerate(codes)}
-    pairs, gain = [], []
-    for c in codes:
-        for x, p in states[c][2].items():
-            pairs.append(index[c] << _BITS | (x + 1))
-            gain.append(math.log10(p / unigram[x]))
-    u64 = lambda x: np.array(x, dtype=np.uint64)
-    return Tree(
-        textscan.Lookup(symbols), textscan.Lookup(textscan.mix(u64(codes))), np.log10([states[c][1] for c in codes]) if codes else np.zeros(0),
-        np.array([index.get(states[c][0], -1) for c in codes], dtype=np.int64), textscan.Lookup(textscan.mix(u64(pairs))), np.array(gain), depth,
-    )
+    Counts by eighths of powers of two: a few hundred rows tell which count
+    makes the head.
+    """
+    step = F.floor(F.log2("c") * 8).cast("int")
+    sizes = sorted(((r[0], r[1]) for r in table.groupBy(step.alias("step")).agg(F.count(F.lit(1))).collect()), reverse=True)
+    seen, least = 0, 1 << 30
+    for s, n in sizes:
+        if seen + n > most:
+            break
+        seen, least = seen + n, s
+    return table.where(step >= least).toArrow(), table.where(step < least) if seen < sum(n for _, n in sizes) else None
 
 
 @dataclass
 class Model:
-    counts: DataFrame  # h, c of the tokens outside the head
-    head: textscan.Lookup
+    head: textscan.Lookup  # the most frequent tokens
     head_counts: np.ndarray
+    tree: textscan.Lookup  # the most frequent keys of the tree
+    tree_values: np.ndarray
+    rest: DataFrame | None  # h, v, token: the others, unigrams as logarithms
+    may_rest: Bitmap | None  # of the other keys of the tree
     total: int
     distinct: int
-    tree: Tree
+    depth: int
+    states: DataFrame | None  # the whole tree
 
     @property
     def divisor(self) -> float:
@@ -244,60 +318,79 @@ def learn(
     where: Column | None = None,
     text: str = "text",
     depth: int = 3,
-    symbols: int = 2048,
+    min_context: int = 32,
+    min_follower: int = 4,
     head: int = 1 << 18,
-    context_share: float = 2e-5,
-    follower_share: float = 5e-6,
+    tree_head: int = 1 << 19,
 ) -> Model:
     """Counts and tree of all rows of ``docs`` that meet ``where``."""
-    if symbols >= (1 << _BITS) - 1 or depth * _BITS + _BITS > 64:
-        raise ValueError("contexts don't fit into 64 bits")
+    if not 1 <= min_follower <= min_context:
+        raise ValueError("a context has to be as frequent as its followers")
     rows = docs.where(where) if where is not None else docs
     rows = rows.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counts = materialize(_counted(rows, lambda t: tokens(t)[0]), "lm-counts")
+    counts = materialize(_counted(rows, lambda t: [[tokens(t)[0]]], ["h"]), "lm-counts")
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = size["n"], size["v"]
-    # Counts by eighths of powers of two: a few hundred rows tell which count makes the head.
-    step = F.floor(F.log2("c") * 8).cast("int")
-    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1))).collect()), reverse=True)
-    seen, least = 0, 1 << 30
-    for s, n in sizes:
-        if seen + n > head:
-            break
-        seen, least = seen + n, s
-    top = counts.where(step >= least).toArrow()
-    h, c = np.asarray(top["h"], dtype=np.int64).view(np.uint64), np.asarray(top["c"], dtype=np.int64)
-    often = np.lexsort((h, -c))[:symbols]
-    known = h[often]
-    lookup = docs.sparkSession.sparkContext.broadcast(textscan.Lookup(known))
-
-    def contexts(t: textscan.Texts) -> np.ndarray:
-        hashes, begin = tokens(t)
-        ids = lookup.value(hashes)
-        out = []
-        for _, at, code in _grams(ids, begin, depth):
-            out.append(_pair(code, np.zeros(len(at), np.int64)))
-            follows = ids[at] >= 0
-            out.append(_pair(code[follows], ids[at[follows]] + 1))
-        return np.concatenate(out)
-
-    # Keys with their sign bit off sort alike as signed and unsigned numbers: at most 52 bits are used.
-    grams = _counted(rows, contexts)
-    whole = F.col("h").bitwiseAND((1 << _BITS) - 1) == 0
-    kept = grams.where(F.col("c") >= F.when(whole, F.lit(max(4.0, context_share * total))).otherwise(F.lit(max(3.0, follower_share * total))))
-    got = kept.toArrow()
-    key, n = np.asarray(got["h"], dtype=np.int64).view(np.uint64), np.asarray(got["c"], dtype=np.int64)
-    unigram = (c[often] + 0.5) / (total + 0.5 * (distinct + 1))
-    tree = build_tree(known, unigram, key, n, depth)
-    return Model(counts.where(step < least), textscan.Lookup(h), c, total, distinct, tree)
+    tree = grow(rows, counts, total + 0.5 * (distinct + 1), depth, min_context, min_follower)
+    top, rest = most_frequent(counts, head)
+    u64 = lambda c: np.asarray(c, dtype=np.int64).view(np.uint64)
+    if rest is not None:
+        rest = rest.select("h", F.log10(F.col("c") + F.lit(0.5)).alias("v"), F.lit(True).alias("token"))
+    keys, values, may_rest = np.zeros(0, np.uint64), np.zeros(0), None
+    if tree is not None:
+        best, other = most_frequent(tree, tree_head)
+        keys, values = u64(best["h"]), np.asarray(best["v"])
+        if other is not None:
+            may_rest = bitmap(other)
+            other = other.select("h", "v", F.lit(False).alias("token"))
+            rest = other if rest is None else rest.unionAll(other)
+    return Model(
+        textscan.Lookup(u64(top["h"])), np.asarray(top["c"], dtype=np.int64), textscan.Lookup(keys, 22), values, rest, may_rest, total, distinct, depth, tree
+    )
+
+
+def _tree_gains(h: np.ndarray, begin: np.ndarray, depth: int, tree: textscan.Lookup, values: np.ndarray, may: Bitmap | None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """What the tree's head adds to each token, and the places and keys that only the rest of the tree can tell."""
+    out, open_ = np.zeros(len(h)), []
+
+    def told(at: np.ndarray, key: np.ndarray) -> None:
+        k = tree(key)
+        hit = k >= 0
+        out[at[hit]] += values[k[hit]]
+        if may is not None:
+            missed = np.flatnonzero(~hit)
+            missed = missed[may(key[missed])]
+            if len(missed):
+                open_.append((at[missed], key[missed]))
+
+    def state(_: int, key: np.ndarray) -> np.ndarray:
+        there = tree(key) >= 0
+        return there if may is None else there | may(key)
+
+    for lo in range(0, len(h), SLICE):
+        # Places without a state go no further: the suffixes of a state are states.
+        for at, key in contexts(h, begin, lo, min(lo + SLICE, len(h)), depth, state):
+            if len(at):
+                told(at, key)
+                told(at, pair(key, h[at]))
+    return out, open_
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``."""
-    spread = docs.sparkSession.sparkContext.broadcast((model.head, model.head_counts, model.tree))
+    spread = docs.sparkSession.sparkContext.broadcast((model.head, model.head_counts, model.tree, model.tree_values, model.may_rest, model.depth))
+    kind = docs.schema[key].dataType
+    arrow = to_arrow_type(kind)
+    fields = [("uid", T.LongType()), ("doc_id", kind), ("n", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("more", T.DoubleType()), ("h", T.LongType()), ("token", T.BooleanType())]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+    types = [arrow if n == "doc_id" else to_arrow_type(t) for n, t in fields]
+
+    def batch(size: int, **columns) -> pa.RecordBatch:
+        made = [columns[n] if n in columns else pa.nulls(size, t) for (n, _), t in zip(fields, types, strict=True)]
+        return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(made, types, strict=True)], names=[n for n, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, head_counts, tree = spread.value
+        head, head_counts, tree, values, may, depth = spread.value
         logs = np.log10(head_counts + 0.5)
         # Unique within the job that writes these rows, which are then only read.
         uid = TaskContext.get().partitionId() << 36
@@ -309,34 +402,39 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 inside = at >= 0
                 base = np.bincount(owner[inside], logs[at[inside]], len(t)).astype(float)
                 known = np.bincount(owner[inside], minlength=len(t))
-                more = np.bincount(owner, tree.gains(h, begin), len(t)).astype(float)
-                o, x = owner[~inside], h[~inside]
-                order = np.lexsort((x, o))
-                o, x = o[order], x[order]
-                first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (o[1:] != o[:-1])])) if len(x) else np.zeros(0, np.int64)
-                n = np.diff(np.append(first, len(x)))
+                gains, open_ = _tree_gains(h, begin, depth, tree, values, may)
+                more = np.bincount(owner, gains, len(t)).astype(float)
                 ids = uid + np.arange(len(t))
                 uid += len(t)
-                none = lambda k, kind: pa.nulls(k, kind)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), b.column(0).slice(t.rows.start, len(t)), pa.array(np.diff(begin)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(more), none(len(t), pa.int64())],
-                    names=["uid", "doc_id", "n", "known", "base", "more", "h"],
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[o[first]]), none(len(first), pa.int64()), pa.array(n.astype(np.int64)), none(len(first), pa.int64()), none(len(first), pa.float64()), none(len(first), pa.float64()), pa.array(x[first].view(np.int64))],
-                    names=["uid", "doc_id", "n", "known", "base", "more", "h"],
-                )
-
-    rows = text_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = materialize(rows.mapInArrow(run, "uid long, doc_id long, n long, known long, base double, more double, h long"), "lm-parts")
-    tail = parts.where(F.col("h").isNotNull()).select("uid", "n", "h").join(model.counts, "h", "left")
-    tail = tail.groupBy("uid").agg(
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("tail"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(F.lit(0))).alias("tail_known"),
+                yield batch(len(t), uid=ids, doc_id=b.column(0).slice(t.rows.start, len(t)), n=np.diff(begin), known=known.astype(np.int64), base=base, more=more)
+                outside = np.flatnonzero(~inside)
+                for places, keys, token in ((outside, h[outside], True), *((p, k, False) for p, k in open_)):
+                    o = owner[places]
+                    order = np.lexsort((keys, o))
+                    o, x = o[order], keys[order]
+                    first = runs(o, x)
+                    n = np.diff(np.append(first, len(x)))
+                    yield batch(len(first), uid=ids[o[first]], n=n.astype(np.int64), h=x[first].view(np.int64), token=np.full(len(first), token))
+
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    parts = materialize(rows.mapInArrow(run, schema), "lm-parts")
+    whole = parts.where(F.col("h").isNull()).select("uid", "doc_id", "n", "known", "base", "more")
+    tail = parts.where(F.col("h").isNotNull()).select("uid", "n", "h", "token")
+    if model.rest is not None:
+        found = tail.join(model.rest.select("h", "v", F.lit(1).alias("there"), F.col("token").alias("kind")), "h", "left")
+        found = found.where(F.col("there").isNull() | (F.col("kind") == F.col("token")))
+    else:
+        found = tail.withColumn("v", F.lit(None).cast("double")).withColumn("there", F.lit(None).cast("int"))
+    unseen = F.when(F.col("token"), F.lit(math.log10(0.5))).otherwise(F.lit(0.0))
+    value = F.col("n") * F.coalesce("v", unseen)
+    found = found.groupBy("uid").agg(
+        F.sum(F.when(F.col("token"), value).otherwise(F.lit(0.0))).alias("tail"),
+        F.sum(F.when(~F.col("token"), value).otherwise(F.lit(0.0))).alias("tail_more"),
+        F.sum(F.when(F.col("token") & F.col("there").isNotNull(), F.col("n")).otherwise(F.lit(0))).alias("tail_known"),
     )
-    whole = parts.where(F.col("h").isNull()).select("uid", "doc_id", "n", "known", "base", "more").join(tail, "uid", "left")
+    out = whole.join(found, "uid", "left")
     base = F.col("base") + F.coalesce("tail", F.lit(0.0)) - F.col("n") * F.lit(math.log10(model.divisor))
-    return whole.select(
+    return out.select(
         "doc_id", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more")).alias("score"),
+        F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more") + F.coalesce("tail_more", F.lit(0.0))).alias("score"),
     )

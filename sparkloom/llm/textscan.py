@@ -139,11 +139,12 @@ def word_hashes(t: Texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while lo < end:
             hi = min(lo + CHUNK_BYTES, end)
             while hi < end:  # on to the next byte that is in no word
-                gap = np.flatnonzero(~table[t.data[hi : hi + CHUNK_BYTES]])
+                ahead = min(hi + CHUNK_BYTES, end)
+                gap = np.flatnonzero(~table[t.data[hi:ahead]])
                 if len(gap):
                     hi += int(gap[0])
                     break
-                hi = min(hi + CHUNK_BYTES, end)
+                hi = ahead
             piece = Texts(t.data[lo:hi], np.array([0, hi - lo]), slice(0, 1))
             starts, ends, _ = word_spans(piece, table)
             if len(starts):

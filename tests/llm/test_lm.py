@@ -1,7 +1,8 @@
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import ODD, SPACED, documents, lower, prose, rng
 from pyspark.sql import functions as F
@@ -17,14 +18,56 @@ def toks(t):
 def corpus():
     r = rng(30)
     line = "all rights are reserved by the author"
-    return [prose(r, words=r.randint(3, 80)) + (f" {line}" if i % 2 else "") for i in range(300)] + ODD
+    # What follows "lo mi" depends on the word before.
+    more = [f" {line}", " ka lo mi pu", " te lo mi ro"]
+    return [prose(r, words=r.randint(3, 80)) + more[i % 3] for i in range(300)] + ODD
 
 
-@pytest.fixture(scope="module")
-def scored(spark):
+def plain_tree(train, depth, min_context, min_follower, base, discount=0.75):
+    """Followers of each retained context, and the mass left to its next shorter suffix: by the definition, context by context."""
+    follow = defaultdict(Counter)
+    for t in train:
+        w = toks(t)
+        for i in range(len(w)):
+            for n in range(1, min(depth, i) + 1):
+                follow[tuple(w[i - n : i])][w[i]] += 1
+    own, rest, passed = {(): None}, {}, set()
+    for c in sorted(follow, key=len):
+        total = sum(follow[c].values())
+        seen = {x: n for x, n in follow[c].items() if n >= min_follower}
+        if total < min_context or not seen:
+            continue
+        own[c] = {x: (n - discount) / total for x, n in seen.items()}
+        lower = {x: base(x) if len(c) == 1 else own[c[1:]][x] for x in seen}
+        left = total - sum(seen.values())
+        gain = sum(n * math.log(n / total / lower[x]) for x, n in seen.items())
+        gain += left * math.log(left / total / max(1 - sum(lower.values()), 1e-9)) if left else 0
+        rest[c] = max(1 - sum(own[c].values()), 1e-9) / max(1 - sum(lower.values()), 1e-9)
+        if gain > 0.5 * len(seen) * math.log(total):
+            passed.add(c)
+    states = {c[k:] for c in passed for k in range(len(c))}
+    return {c: own[c] for c in states}, rest
+
+
+def plain_probability(own, rest, base, context, x):
+    """Of ``x`` after the longest suffix of ``context`` that is a state."""
+    while context and context not in own:
+        context = context[1:]
+    if not context:
+        return base(x)
+    return own[context][x] if x in own[context] else rest[context] * plain_probability(own, rest, base, context[1:], x)
+
+
+SMALL = {"min_context": 8, "min_follower": 2}
+
+
+@pytest.fixture(scope="module", params=[(1 << 18, 1 << 19), (40, 30)], ids=["head", "tables"])
+def scored(spark, request):
     texts = corpus()
     docs = documents(spark, texts)
-    m = S.learn(docs, where=F.col("doc_id") % 5 != 1, symbols=64, head=40, context_share=1e-3, follower_share=3e-4)
+    head, tree_head = request.param
+    m = S.learn(docs, where=F.col("doc_id") % 5 != 1, head=head, tree_head=tree_head, **SMALL)
+    assert (m.rest is None) == (head > 40)
     return texts, m, {r["doc_id"]: r for r in S.score(docs, m).collect()}
 
 
@@ -40,51 +83,56 @@ def test_base_scores_equal_brute_force(scored):
         assert got[i]["base_score"] == pytest.approx(base, rel=1e-9)
 
 
-def test_tree_predicts_held_out_texts_better(scored):
+def test_scores_equal_a_plain_suffix_tree(scored):
     texts, m, got = scored
+    train = [t for i, t in enumerate(texts) if i % 5 != 1]
+    c = Counter(w for t in train for w in toks(t))
+    base = lambda x: (c[x] + 0.5) / m.divisor
+    own, rest = plain_tree(train, 3, SMALL["min_context"], SMALL["min_follower"], base)
+    assert {len(s) for s in own} == {1, 2, 3} and m.states.count() == len(own) + sum(len(x) for x in own.values())
+    for i, t in enumerate(texts):
+        w = toks(t)
+        want = sum(math.log10(plain_probability(own, rest, base, tuple(w[max(k - 3, 0) : k]), w[k])) for k in range(len(w)))
+        assert got[i]["score"] == pytest.approx(want, rel=1e-9, abs=1e-9)
+    # Each state's distribution over all tokens and the unknown one sums to one.
+    for s in list(own)[:40]:
+        assert sum(plain_probability(own, rest, base, s, x) for x in [*c, "never seen"]) == pytest.approx(1, abs=1e-6)
+
+
+def test_tree_predicts_held_out_texts_better(scored):
+    _, _, got = scored
     held = [i for i in range(300) if i % 5 == 1]
-    assert len(m.tree.rest) > 3 and sum(got[i]["score"] for i in held) > sum(got[i]["base_score"] for i in held) + 50
-
-
-def test_distributions_sum_to_one(scored):
-    _, m, _ = scored
-    t = m.tree
-    n = len(t.symbols.sorted)
-    counts = np.empty(n)
-    head = m.head(t.symbols.sorted)
-    counts[t.symbols.order] = m.head_counts[head]
-    p = (counts + 0.5) / m.divisor
-    other = 1 - p.sum()  # everything that is no symbol
-    for state in range(len(t.rest)):
-        total, tail, s, seen = 0.0, 1.0, state, set()
-        while s >= 0:
-            key = textscan.mix(np.uint64(s) << np.uint64(S._BITS) | np.arange(1, n + 1, dtype=np.uint64))
-            pair = t.pairs(key)
-            for x in np.flatnonzero(pair >= 0):
-                if x not in seen:
-                    total += tail * 10 ** t.gain[pair[x]] * p[x]
-                    seen.add(x)
-            tail *= 10 ** t.rest[s]
-            s = t.shorter[s]
-        total += tail * (other + sum(p[x] for x in range(n) if x not in seen))
-        assert total == pytest.approx(1, abs=1e-6)
-
-
-def test_longest_suffix_state_is_used():
-    sym = np.arange(1, 5, dtype=np.uint64) << np.uint64(40)
-    uni = np.array([0.25, 0.25, 0.2, 0.1])
-    b = S._BITS
-    key = lambda *xs: sum((x + 1) << b * k for k, x in enumerate(reversed(xs)))  # noqa: E731  oldest first
-    rows = {key(0): {None: 1000, 1: 900}, key(1, 0): {None: 500, 2: 480}}
-    k, n = [], []
-    for c, f in rows.items():
-        for x, m in f.items():
-            k.append(c << b | (0 if x is None else x + 1))
-            n.append(m)
-    t = S.build_tree(sym, uni, np.array(k, np.uint64), np.array(n), 2)
-    h = sym[[1, 0, 2, 0, 1]]
-    g = t.gains(h, np.array([0, 5]))
-    assert g[2] == pytest.approx(math.log10((480 - 0.75) / 500 / 0.2)) and g[4] == pytest.approx(math.log10((900 - 0.75) / 1000 / 0.25)) and g[0] == g[1] == 0
+    assert sum(got[i]["score"] for i in held) > sum(got[i]["base_score"] for i in held) + 50
+
+
+def test_the_tree_grows_with_the_corpus(spark):
+    phrases = [" ".join(prose(rng(90 + i), words=6).split()[:6]) + f" k{i}" for i in range(30)]
+    texts = [f"{prose(rng(i), words=10)} {phrases[i // 12]} z{i // 12}" for i in range(360)]
+    sizes = [S.learn(documents(spark, texts[:n]), **SMALL).states.count() for n in (60, 360)]
+    assert sizes[1] > 3 * sizes[0] > 0
+
+
+def test_long_texts_in_slices(spark, monkeypatch):
+    texts = [prose(rng(60 + i), words=400) for i in range(3)]
+    docs = documents(spark, texts)
+    m = S.learn(docs, min_context=4, min_follower=2)
+    whole = [r["score"] for r in S.score(docs, m).orderBy("doc_id").collect()]
+    for t in textscan.chunks(pa.array(texts)):
+        h, begin = S.tokens(t)
+        gains, _ = S._tree_gains(h, begin, 3, m.tree, m.tree_values, None)
+        monkeypatch.setattr(S, "SLICE", 7)
+        parts, _ = S._tree_gains(h, begin, 3, m.tree, m.tree_values, None)
+        assert np.allclose(gains, parts) and gains.any() and len(whole) == 3
+        monkeypatch.setattr(textscan, "CHUNK_BYTES", 50)
+        assert (S.tokens(t)[0] == h).all() and (S.tokens(t)[1] == begin).all()
+
+
+def test_ids_of_any_type(spark):
+    texts = corpus()[:60]
+    docs = documents(spark, texts)
+    m = S.learn(docs, **SMALL)
+    names = {f"d{r['doc_id']}": r["score"] for r in S.score(docs, m).collect()}
+    assert {r["doc_id"]: r["score"] for r in S.score(docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), m).collect()} == names
 
 
 def test_odd_tables(spark):
