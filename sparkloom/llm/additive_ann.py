@@ -10,18 +10,23 @@ squared norm of its sum.
 
 A query's inner products with all codewords are its lookup table; with the
 stored norm, the sum of one entry for each book gives the approximate distance
-to any indexed vector.  Queries and rows are dealt into blocks by hashes; each
-pair of blocks is one task's group of bounded size, in which the ``pool``
-approximately nearest rows of each query are measured exactly on the original
-vectors, and the ``k`` nearest go on.  A last ranking over these gives the
-result.  As every block is searched, candidates are not limited to a few
-lists; recall depends only on the pool of each block.
+to any indexed vector.  Queries and codes are dealt into blocks by hashes;
+each pair of blocks is one task's group of bounded size.  Only codes and norms
+are copied to the blocks of queries, no vectors.  Over all blocks the
+``shortlist`` approximately nearest of each query go on, and these alone are
+measured exactly on the original vectors, which are joined by id.  Recall
+depends on the shortlist, which is ``pool`` vectors, or ``share`` of a table in
+which that would be more (``least`` at least).
+
+Equal vectors are indexed once, with their ``k`` + 1 smallest ids: no other of
+them can be among a query's nearest, since ties go to the smaller id.
 
 Defined results: vectors that are null, zero, hold null or non-finite
 components, or have another dimension than most, take no part, nor do rows
-without an id; rows that repeat an id count once, with the smallest vector;
-ties go to the smaller id; fewer candidates than ``k`` are all returned; an
-empty table gives an empty result.
+without an id; rows that repeat an id are one candidate, since a result names
+ids only, with the smallest vector; ties go to the smaller id; fewer candidates
+than ``k`` are all returned; an empty table gives an empty result.  Ids may be
+of any type that can be sorted.
 """
 
 from __future__ import annotations
@@ -33,8 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .store import materialize
+from .store import materialize, named, numbered
 
 
 @dataclass
@@ -44,22 +50,23 @@ class Codebooks:
     def encode(self, x: np.ndarray, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Codes and squared norms of their sums."""
         books, size, _ = self.words.shape
-        n = len(x)
-        rest = x[:, None, :]
+        n, rows = len(x), np.arange(len(x))[:, None]
+        words = self.words.astype(np.float32)
+        norms = (words * words).sum(-1)
+        rest = x.astype(np.float32)[:, None, :]
+        left = (rest * rest).sum(-1)  # squared lengths of what is left
         codes = np.zeros((n, 1, 0), dtype=np.uint8)
         for m in range(books):
-            c = self.words[m]
-            left = (rest * rest).sum(-1)[:, :, None] - 2 * rest @ c.T + (c * c).sum(-1)
-            wide = left.reshape(n, -1)
+            wide = (left[:, :, None] - 2 * (rest @ words[m].T) + norms[m]).reshape(n, -1)
             keep = min(beam, wide.shape[1])
             best = np.argpartition(wide, keep - 1, axis=1)[:, :keep]
             b, k = best // size, best % size
-            rows = np.arange(n)[:, None]
-            rest = rest[rows, b] - c[k]
+            rest, left = rest[rows, b] - words[m][k], wide[rows, best]
             codes = np.concatenate([codes[rows, b], k[:, :, None].astype(np.uint8)], axis=2)
-        best = (rest * rest).sum(-1).argmin(axis=1)
-        codes = codes[np.arange(n), best]
-        total = x - rest[np.arange(n), best]
+        codes = codes[np.arange(n), left.argmin(axis=1)]
+        total = np.zeros((n, self.words.shape[2]))
+        for m in range(books):
+            total += self.words[m][codes[:, m]]
         return codes, (total * total).sum(-1)
 
 
@@ -74,7 +81,7 @@ def _kmeans(x: np.ndarray, size: int, rng: np.random.Generator, rounds: int = 8)
     return c
 
 
-def fit(x: np.ndarray, books: int = 16, size: int = 64, rounds: int = 2, beam: int = 4, seed: int = 11) -> Codebooks:
+def fit(x: np.ndarray, books: int = 32, size: int = 64, rounds: int = 2, beam: int = 4, seed: int = 11) -> Codebooks:
     rng = np.random.default_rng(seed)
     rest = x.copy()
     words = np.zeros((books, size, x.shape[1]))
@@ -102,15 +109,21 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf))) & F.exists(vector, lambda v: v != 0)
 
 
-def prepare(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id, v``: what takes part, one row an id."""
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.where(F.col("id").isNotNull() & valid(F.col("v")))
-    rows = materialize(rows.groupBy("id").agg(F.min("v").alias("v")), "ann-rows")
+def prepare(vectors: DataFrame, key: str, vector: str, is_query: Column) -> DataFrame:
+    """``id, v, query``: what takes part, one row an id."""
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & valid(F.col("v")))
+    rows = materialize(rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("query", F.coalesce(is_query, F.lit(False))), "ann-rows")
     most = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     return rows.where(F.size("v") == (most["d"] if most else 0))
 
 
+def distinct(rows: DataFrame, k: int) -> DataFrame:
+    """``id, v, ids``: each vector once, with the ``k`` + 1 smallest ids that have it."""
+    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    first = rows.select("id", "v", place.alias("place")).where(F.col("place") <= k + 1)
+    return materialize(first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "v", "ids"), "ann-distinct")
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -118,9 +131,9 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def index(rows: DataFrame, sample: int = 8192, books: int = 16, size: int = 64, beam: int = 4) -> tuple[Codebooks | None, DataFrame | None]:
-    """Codebooks, and the table ``id, v, code, norm`` of every row."""
-    got = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+def index(rows: DataFrame, sample: int = 8192, books: int = 32, size: int = 64, beam: int = 4) -> tuple[Codebooks | None, DataFrame | None]:
+    """Codebooks, and the table ``id, code, norm`` of every row of ``id, v``."""
+    got = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
     if not len(got):
         return None, None
     made = fit(_matrix(got["v"]), books, size, beam=beam)
@@ -131,9 +144,14 @@ def index(rows: DataFrame, sample: int = 8192, books: int = 16, size: int = 64,
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
                 codes, norms = spread.value.encode(_matrix(part.column(1)), beam)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["id", "v", "code", "norm"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["id", "code", "norm"])
 
-    return made, materialize(rows.mapInArrow(run, "id long, v array<double>, code binary, norm double"), "ann-index")
+    return made, materialize(rows.select("id", "v").mapInArrow(run, "id long, code binary, norm double"), "ann-index")
+
+
+def shortlist(rows: int, pool: int, share: float, least: int) -> int:
+    """How many vectors are measured exactly for a query."""
+    return max(least, min(pool, math.ceil(share * rows)))
 
 
 def search(
@@ -142,50 +160,58 @@ def search(
     key: str = "vec_id",
     vector: str = "embedding",
     k: int = 10,
-    pool: int = 192,
-    row_block: int = 2048,
-    query_block: int = 2048,
+    pool: int = 512,
+    share: float = 0.02,
+    least: int = 40,
+    row_block: int = 16384,
+    query_block: int = 4096,
     **options,
 ) -> DataFrame:
     """``query_id, rank, id, score`` of the rows that ``is_query`` (a condition on ``id``) names, against all others."""
     spark = vectors.sparkSession
-    out = "query_id long, id long, score double"
-    made, table = index(prepare(vectors, key, vector), **options)
+    kind = vectors.schema[key].dataType
+    rows, names = numbered(prepare(vectors, key, vector, is_query), "id")
+    table = distinct(rows, k)
+    made, codes = index(table, **options)
     if made is None:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    queries = table.where(is_query)
-    row_blocks = max(1, -(-table.count() // row_block))
-    query_blocks = max(1, -(-queries.count() // query_block))
+        empty = [T.StructField("query_id", kind), T.StructField("rank", T.IntegerType()), T.StructField("id", kind), T.StructField("score", T.DoubleType())]
+        return spark.createDataFrame([], T.StructType(empty))
+    queries = rows.where("query").select(F.col("id").cast("long").alias("id"), "v")
+    size = codes.count()
+    # Itself may be among the nearest, so one more goes on.
+    taken = shortlist(size, pool, share, least) + 1
+    row_blocks, query_blocks = max(1, -(-size // row_block)), max(1, -(-queries.count() // query_block))
     spread = spark.sparkContext.broadcast(made)
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = queries.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).alias("qb")).select("*", numbers(row_blocks).alias("rb"))
-    right = table.select("id", "v", "code", "norm", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(row_blocks)).alias("rb")).select("*", numbers(query_blocks).alias("qb"))
+    right = codes.select("id", "code", "norm", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(row_blocks)).alias("rb")).select("*", numbers(query_blocks).alias("qb"))
 
     def pairs(q: pa.Table, r: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(q) and len(r):
             words = spread.value.words
-            ids, x, norm = np.asarray(r["id"]), _matrix(r["v"]), np.asarray(r["norm"])
+            ids, norm = np.asarray(r["id"]), np.asarray(r["norm"], dtype=np.float32)
             codes = np.frombuffer(b"".join(r["code"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
             own, y = np.asarray(q["id"]), _matrix(q["v"])
-            for lo in range(0, len(own), 256):
-                part, mine = y[lo : lo + 256], own[lo : lo + 256]
+            n = min(taken, len(ids))
+            for lo in range(0, len(own), 64):
+                part, mine = y[lo : lo + 64], own[lo : lo + 64]
                 near = np.repeat(norm[:, None], len(part), axis=1)
                 for m in range(len(words)):
-                    near += np.take(-2 * words[m] @ part.T, codes[:, m], axis=0)
-                near[ids[:, None] == mine[None, :]] = np.inf
-                near = near.T
-                # Rows that tie in the approximation at the pool's edge (equal codes) are all measured.
-                n = min(pool, near.shape[1])
-                edge = np.partition(near, n - 1, axis=1)[:, n - 1]
-                for i in range(len(part)):
-                    some = np.flatnonzero((near[i] <= edge[i]) & np.isfinite(near[i]))
-                    d = np.sqrt(((x[some] - part[i]) ** 2).sum(-1))
-                    best = some[o := np.lexsort((ids[some], d))[:k]]
-                    found.append((np.full(len(best), mine[i]), ids[best], d[o]))
+                    near += np.take((-2 * words[m] @ part.T).astype(np.float32), codes[:, m], axis=0)
+                best = np.argpartition(near, n - 1, axis=0)[:n]
+                found.append((np.repeat(mine, n), ids[best.T.ravel()], np.take_along_axis(near, best, axis=0).T.ravel().astype(float)))
         cols = [np.concatenate([f[j] for f in found]) if found else np.zeros(0, t) for j, t in enumerate((np.int64, np.int64, float))]
-        return pa.table({"query_id": cols[0], "id": cols[1], "score": cols[2]})
-
-    near = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(pairs, out)
+        return pa.table({"query_id": cols[0], "id": cols[1], "near": cols[2]})
+
+    near = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(pairs, "query_id long, id long, near double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("near", "id"))
+    chosen = materialize(near.withColumn("place", place).where(F.col("place") <= taken).select("query_id", "id"), "ann-shortlist")
+    # Exact distances: a shortlisted id meets its vector, and the two their query.
+    asked = queries.select(F.col("id").alias("query_id"), F.col("v").alias("asked"))
+    both = chosen.join(table, "id").join(asked, "query_id")
+    squares = F.aggregate(F.zip_with("v", "asked", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, d: total + d)
+    exact = both.select("query_id", F.sqrt(squares).alias("score"), F.explode("ids").alias("id")).where(F.col("id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
-    return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    out = exact.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return named(named(out, names, "query_id", kind), names, "id", kind).select("query_id", "rank", "id", "score")

@@ -16,14 +16,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SCRATCH: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where the cluster names none."""
+    """The shared folder; a temporary one only where Spark is local and none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all nodes of the cluster share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "sparkloom-shared")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -57,11 +60,61 @@ def remove(spark: SparkSession, *paths: str) -> None:
         _remove(spark, path)
 
 
+#: Rows of an Arrow batch where Spark's default would be used: that is made for numbers, and long texts fill hundreds of MB.
+BATCH_ROWS = 1000
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to shared storage and return the table."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once to shared storage and return the table.
+
+    While it is written, texts go to Python in batches of ``BATCH_ROWS`` rows
+    unless the session asks for another size than the default; the session's
+    setting is the same afterwards.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    was = spark.conf.get(_BATCH)
+    if was == _DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        if was == _DEFAULT:
+            spark.conf.set(_BATCH, was)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with whole numbers as ``key``, and the table ``number, name`` of what they stand for.
+
+    Whole numbers stay as they are.  Keys of other types are numbered in their
+    order, so the smallest number is the smallest key; null stays null.
+    """
+    kind = df.schema[key].dataType
+    if isinstance(kind, T.IntegralType):
+        return df, None
+    names = df.select(F.col(f"`{key}`").alias("name")).where(F.col("name").isNotNull()).distinct().orderBy("name")
+    # Sorted partitions are numbered in order, so the ids rise with the names.
+    names = materialize(names.select(F.monotonically_increasing_id().alias("number"), "name"), "names")
+    rows = df.withColumnRenamed(key, "__name").join(names.withColumnRenamed("name", "__other"), F.col("__name") == F.col("__other"), "left")
+    return rows.select(*[F.col("number").alias(key) if c == key else F.col(f"`{c}`") for c in df.columns]), names
+
+
+def named(df: DataFrame, names: DataFrame | None, key: str, kind: T.DataType) -> DataFrame:
+    """``df`` with the keys again that ``numbered`` replaced."""
+    if names is None:
+        return df.withColumn(key, F.col(key).cast(kind))
+    back = names.select(F.col("number").alias("__number"), F.col("name").alias("__name"))
+    out = df.join(back, F.col(key) == F.col("__number"), "left")
+    return out.select(*[F.col("__name").alias(c) if c == key else F.col(c) for c in df.columns])
+
+
+def small(df: DataFrame, rows: int, size: int = 64 << 20) -> bool:
+    """Whether ``df`` was counted to have at most ``rows`` rows and ``size`` bytes, written out as text."""
+    some = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b"))
+    got = some.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return got["n"] <= rows and got["b"] <= size
 
 
 def crc_bucket(key: str, modulus: int):
@@ -72,8 +125,8 @@ def crc_bucket(key: str, modulus: int):
 def left_out(df: DataFrame, keys: DataFrame, on: list[str], broadcast_rows: int = 1_000_000) -> DataFrame:
     """Rows of ``df`` whose key is not in ``keys``, a narrow table.
 
-    ``keys`` is counted first: up to ``broadcast_rows`` rows are sent to every
-    executor, more are joined by a shuffle.
+    ``keys`` is measured first: what is ``small`` is sent to every executor,
+    more is joined by a shuffle.
     """
-    small = keys.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return df.join(F.broadcast(keys) if small else keys.hint("merge"), on, "left_anti").select(*df.columns)
+    sent = F.broadcast(keys) if small(keys, broadcast_rows) else keys.hint("merge")
+    return df.join(sent, on, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -19,7 +19,7 @@ def brute(rows, queries, k=10):
 def test_recall_ranks_and_scores(spark):
     g = np.random.default_rng(0)
     rows = [(i, g.normal(size=24).astype(float).tolist(), 0) for i in range(3000)]
-    got = A.search(spark.createDataFrame(rows, SCHEMA), F.col("id") % 100 == 0, row_block=700, query_block=11, pool=100, size=32, books=8, sample=2000).collect()
+    got = A.search(spark.createDataFrame(rows, SCHEMA), F.col("id") % 100 == 0, row_block=700, query_block=11, pool=60, size=32, books=16, sample=2000).collect()
     want = brute([r[:2] for r in rows], range(0, 3000, 100))
     hits = 0
     for q, best in want.items():
@@ -56,3 +56,30 @@ def test_ties_odd_vectors_repeats_and_few_candidates(spark):
     assert A.search(df.limit(0), F.col("id") % 100 == 0).count() == 0
     assert A.search(df.where("vec_id = 200"), F.col("id") % 100 == 0).count() == 0
     assert A.search(df, F.col("id") == 12345).count() == 0
+
+
+def test_many_equal_vectors_and_string_ids(spark):
+    g = np.random.default_rng(4)
+    same = g.normal(size=8).tolist()
+    rows = [(i, same if i % 3 == 0 else g.normal(size=8).tolist(), 0) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute([r[:2] for r in rows], range(0, 400, 100))
+    got = A.search(df, F.col("id") % 100 == 0, least=200).collect()
+    for q, best in want.items():
+        mine = sorted((r["rank"], r["id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [r[1] for r in mine] == [i for _, i in best] and [r[2] for r in mine] == pytest.approx([d for d, _ in best])
+    named = df.withColumn("vec_id", F.format_string("v%03d", "vec_id"))
+    again = A.search(named, F.col("id").isin("v000", "v100", "v200", "v300"), least=200).collect()
+    assert {(r["query_id"], r["rank"], r["id"]) for r in again} == {(f"v{r['query_id']:03d}", r["rank"], f"v{r['id']:03d}") for r in got}
+
+
+def test_query_recall_on_the_given_tables(spark):
+    from sparkloom.llm.queries import op6_ann
+
+    path = "/root/testdata/sf0.01"
+    table = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
+    ok = [(i, v) for i, v in table if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    want = brute(ok, [i for i, _ in ok if i % 100 == 0])
+    got = op6_ann(spark, path).collect()
+    hits = sum(len({r["vec_id"] for r in got if r["query_id"] == q} & {i for _, i in best}) for q, best in want.items())
+    assert len(got) == 10 * len(want) and hits / len(got) >= 0.9
