@@ -74,15 +74,19 @@ def test_plan_is_native(spark, data):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
-def test_near_matches(spark):
-    docs, bench = frame(spark, ["alpha beta gamma delta", "delta xx gamma beta", "alpha only here"], [(1, "alpha beta gamma delta")])
+def test_postings_and_intersection(spark):
+    docs, bench = frame(spark, ["alpha beta gamma delta", "delta xx gamma beta", "alpha only here", None, ""], [(1, "alpha beta gamma delta"), (2, "alpha unheard")])
     test = D.phrases(bench)
-    lookup = D.lookup_terms(docs, test, "text", 1000)
-    index = D.postings(docs, lookup, "text", "doc_id", 7, 1000)
-    term = lookup.first()["term"]
-    near = {r["d"]: r["share"] for r in D.near_matches(index, lookup, 0.7).collect()}
-    assert near[0] == 1.0 and set(near) <= {0, 1} and (1 in near) == (term in "delta gamma beta".split())
-    assert {r["d"] for r in D.exact_matches(index, lookup, 1000).collect()} == {0}
+    index = D.postings(docs, test, "text", "doc_id", 1000)
+    terms = {r["t"]: r["term"] for r in test.terms.collect()} | {D.END_NUMBER: None}
+    keys = {r["d"]: r["doc_id"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("d")).collect()}
+    got = sorted((keys[r["d"]], r["pos"], terms[r["t"]] or "") for r in index.collect())
+    assert got == [(0, 0, "alpha"), (0, 1, "beta"), (0, 2, "gamma"), (0, 3, "delta"), (0, 4, ""), (1, 0, "delta"), (1, 2, "gamma"), (1, 3, "beta"), (1, 4, ""), (2, 0, "alpha"), (2, 3, ""), (4, 0, "")]
+    looked = D.lookup(test, index, 1000).collect()
+    assert len(looked) == 1 and [x["df"] for x in looked[0]["terms"]] == [2, 2, 2, 2]
+    assert [(keys[r["d"]], r["start"], r["n"]) for r in D.exact_matches(index, D.lookup(test, index, 1000), 1000).collect()] == [(0, 0, 4)]
+    near = D.near_matches(index, D.near_lookup(test, index, 0.7, 1000), 8, 1000)
+    assert {keys[r["d"]] for r in near.collect()} == {0, 1}
 
 
 def test_repeated_ids_null_ids_empty_tables_and_clashes(spark):
@@ -97,6 +101,13 @@ def test_repeated_ids_null_ids_empty_tables_and_clashes(spark):
     assert {r["n_items"] for r in D.contamination(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_ids_of_any_type(spark, data):
+    texts, items = data
+    docs, bench = frame(spark, texts, items)
+    got = {r["doc_id"]: r["n_hit"] for r in D.contamination(docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), bench).collect()}
+    assert got == {f"d{i}": x[1] for i, x in enumerate(brute(texts, items))}
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
     assert F is not None
