@@ -10,9 +10,12 @@ max-pooled over all chunks, and a logistic unit combines them into one
 probability.
 
 The network is fitted on a bounded sample of labelled rows: at most
-``per_class`` rows of either label with at most ``max_train_bytes`` bytes of
-text, in order of a hash of the key, so reruns take the same rows.  Scoring
-reads every byte of every text with memory that depends on one slice only.
+``per_class`` rows of either label, in order of a hash of the key, so reruns
+take the same rows.  Of a text of more than ``train_chars`` characters pieces
+are taken, at places that follow from a hash, as many as make up that length;
+so any labelled row may be drawn, and the driver holds a bounded number of
+bytes.  Scoring reads every byte of every text; a long one goes through in
+pieces, whose maxima merge.
 
 Defined results: a null or empty text is one blank chunk and gets the score of
 that; without labelled rows of both classes every score is the share of 1
@@ -34,6 +37,8 @@ from .frames import annotate
 
 #: Positions whose responses are held at once when scoring.
 SLICE_BLOCKS = 512
+#: Blocks of a long text that are laid out at once.
+PIECE_BLOCKS = 1 << 14
 
 
 @dataclass
@@ -78,11 +83,32 @@ class ByteCNN:
         nxt = np.minimum(np.arange(len(feats)) + 1, np.repeat(first[1:] - 1, np.diff(first)))
         return np.maximum(np.maximum(feats, feats[nxt]) + self.bias, 0)
 
-    def scores(self, t: textscan.Texts) -> np.ndarray:
+    def pooled(self, t: textscan.Texts) -> np.ndarray:
+        """Largest response of each unit over all chunks of each text."""
         flat, first = self.layout(t)
         chunks = self.chunk_features(self.block_features(flat, first[-1]), first)
-        units = np.maximum(chunks @ self.hidden + self.hidden_bias, 0)
-        pooled = np.maximum.reduceat(units, first[:-1], axis=0)
+        return np.maximum.reduceat(np.maximum(chunks @ self.hidden + self.hidden_bias, 0), first[:-1], axis=0)
+
+    def pooled_by_pieces(self, data: np.ndarray) -> np.ndarray:
+        """The same of one text, ``PIECE_BLOCKS`` blocks and the next one at a time."""
+        more = len(self.table) - 1
+        blocks = max(1, -(-(len(data) + more) // self.block))
+        best = None
+        for a in range(0, blocks, PIECE_BLOCKS):
+            b = min(blocks, a + PIECE_BLOCKS + 1)  # the last block is the first of the next piece
+            lo, n = a * self.block - more, (b - a) * self.block + more
+            flat = np.zeros(n, dtype=np.uint8)
+            part = data[max(lo, 0) : lo + n]
+            flat[max(-lo, 0) : max(-lo, 0) + len(part)] = part
+            chunks = self.chunk_features(self.block_features(flat, b - a), np.array([0, b - a]))
+            if b < blocks:
+                chunks = chunks[:-1]  # it belongs to the next piece, with the block after it
+            units = np.maximum(chunks @ self.hidden + self.hidden_bias, 0).max(axis=0)
+            best = units if best is None else np.maximum(best, units)
+        return best[None, :]
+
+    def scores(self, t: textscan.Texts) -> np.ndarray:
+        pooled = self.pooled_by_pieces(t.data) if len(t) == 1 and len(t.data) > PIECE_BLOCKS * self.block else self.pooled(t)
         return 1 / (1 + np.exp(-np.clip((pooled @ self.out).astype(np.float64) + self.out_bias, -30, 30)))
 
 
@@ -180,7 +206,7 @@ def constant(share: float) -> ByteCNN:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, train: Column, per_class: int, max_bytes: int
+    docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, train: Column, per_class: int, chars: int, piece: int = 512
 ) -> list[tuple[bytes, int]]:
     """At most ``per_class`` rows of each label, in order of a hash of the key; repeated labels count once."""
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
@@ -189,11 +215,15 @@ def labelled_sample(
     for y in (0, 1):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class)
         picked = some if picked is None else picked.unionAll(some)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.octet_length("t") <= max_bytes)
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     # At most 2 * per_class narrow rows are sent to the executors, and their texts come back.
     # No more rows come back than were sent, though keys may repeat.
     got = rows.join(F.broadcast(picked), "k").select(F.xxhash64("k", "t").alias("h"), "k", "t", "y")
-    got = got.orderBy("h", "k", "t", "y").limit(2 * per_class).select("t", "y").toArrow()
+    # Zero bytes keep the pieces apart, as the network has them before and after a text.
+    numbers = F.sequence(F.lit(0), F.lit(max(chars // piece, 1) - 1))
+    pieces = F.transform(numbers, lambda i: F.substring("t", (F.pmod(F.xxhash64("h", i), F.length("t") - piece) + 1).cast("int"), F.lit(piece)))
+    cut = F.when(F.length("t") <= chars, F.col("t")).otherwise(F.array_join(pieces, "\0" * 16))
+    got = got.orderBy("h", "k", "t", "y").limit(2 * per_class).select(cut.alias("t"), "y").toArrow()
     return [(t.encode(), y) for t, y in zip(got["t"].to_pylist(), got["y"].to_pylist(), strict=True)]
 
 
@@ -205,11 +235,11 @@ def learn(
     text: str = "text",
     label: str = "quality",
     per_class: int = 2000,
-    max_train_bytes: int = 6000,
+    train_chars: int = 6144,
     **options,
 ) -> ByteCNN:
     """Fit on the sample; ``train`` is a condition on the key, named ``k``."""
-    rows = labelled_sample(docs, labels, key, text, label, train, per_class, max_train_bytes)
+    rows = labelled_sample(docs, labels, key, text, label, train, per_class, train_chars)
     y = np.array([r[1] for r in rows], dtype=float)
     if len(set(y)) < 2:
         return constant(float(y.mean()) if len(y) else 0.5)

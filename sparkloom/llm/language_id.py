@@ -9,8 +9,9 @@ nearest profile names the language.
 
 Counts for the profiles cover every training document: each task sums what it
 reads, one shuffle adds the sums by (language, n-gram), and only the top of
-each language's list goes to the driver (``profile_size`` entries for each of
-at most ``max_languages`` languages, those with the most text).
+each language's list goes to the driver: ``profile_size`` numbers for each
+language, however many there are.  A long text is counted piece by piece, and
+there are at most 3.7 million different n-grams.
 
 Defined results: a text that is null, empty or without a letter is ``und``
 with score 0, and so is every text when there is nothing to learn from.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan
-from .frames import annotate, text_batches
+from .frames import annotate
 
 UNKNOWN = "und"
 #: Texts are taken together up to so many bytes: each byte makes three n-grams of eight bytes, several times over.
@@ -45,11 +46,11 @@ _LETTER[0x80:] = np.arange(0x80, 0x100)
 
 @dataclass(frozen=True)
 class Profiles:
-    """Languages in order of code point, the n-grams of any profile, and ranks[n-gram, language]."""
+    """Languages in order of code point; for each its n-grams, sorted, and their ranks."""
 
     languages: list[str]
-    grams: np.ndarray
-    ranks: np.ndarray
+    grams: list[np.ndarray]
+    ranks: list[np.ndarray]
     size: int
 
 
@@ -77,6 +78,42 @@ def grams(texts: textscan.Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(owners)
 
 
+def piece_grams(left: int, data: np.ndarray, right: int, last: bool) -> np.ndarray:
+    """The n-grams of one piece of a text between two bytes: those whose second byte of two, or middle one of three, it has."""
+    p = np.concatenate([[_LETTER[left]], _LETTER[data], [_LETTER[right]]]).astype(np.uint64)
+    a, b = (p[:-1], p[1:]) if last else (p[:-2], p[1:-1])
+    two = (a > 0) | (b > 0)
+    mid = np.flatnonzero(p[1:-1]) + 1
+    three = p[mid - 1] << np.uint64(16) | p[mid] << np.uint64(8) | p[mid + 1] | np.uint64(2 << 24)
+    return np.concatenate([p[mid], a[two] << np.uint64(8) | b[two] | np.uint64(1 << 24), three])
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by key, in order of the key."""
+    key = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint64)
+    n = np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.int64)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], (np.add.reduceat(n, first) if len(first) else n)
+
+
+def text_counts(t: textscan.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, n-gram) of some texts in order, with how often each occurs."""
+    if len(t) > 1 or len(t.data) <= CHUNK_BYTES:
+        gram, owner = grams(t)
+        return counted(owner, gram)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for a in range(0, len(t.data), CHUNK_BYTES):
+        b = min(a + CHUNK_BYTES, len(t.data))
+        left, right = (int(t.data[a - 1]) if a else 0), (int(t.data[b]) if b < len(t.data) else 0)
+        held.append(np.unique(piece_grams(left, t.data[a:b], right, b == len(t.data)), return_counts=True))
+        if len(held) >= 32:
+            held = [merged(held)]
+    gram, n = merged(held)
+    return np.zeros(len(gram), np.int64), gram, n
+
+
 def counted(owner: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (owner, gram) in order, with how often each occurs."""
     key = np.sort(owner.astype(np.uint64) << np.uint64(32) | gram)
@@ -105,10 +142,9 @@ def learn_profiles(
     lang: str = "lang",
     where: Column | None = None,
     profile_size: int = 400,
-    max_languages: int = 1000,
 ) -> Profiles:
     """Profiles of all rows of ``docs`` (those of ``where``) that have a text and a language."""
-    rows = text_batches(docs).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     if where is not None:
         rows = rows.where(where)
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -117,25 +153,16 @@ def learn_profiles(
         names: dict[str, int] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            key = np.concatenate([k for k, _ in held])
-            n = np.concatenate([c for _, c in held])
-            order = np.argsort(key, kind="stable")
-            key, n = key[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            return key[first], np.add.reduceat(n, first)
-
         for batch in batches:
             langs = np.array([names.setdefault(x, len(names)) for x in batch.column(1).to_pylist()], dtype=np.int64)
             for t in textscan.chunks(_lower(batch.column(0)), CHUNK_BYTES):
-                gram, owner = grams(t)
-                o, g, n = counted(langs[t.rows][owner], gram)
+                owner, g, n = text_counts(t)
                 if len(g):
-                    held.append((o.astype(np.uint64) << np.uint64(32) | g, n))
+                    held.append((langs[t.rows][owner].astype(np.uint64) << np.uint64(32) | g, n))
                 if len(held) >= 32:
-                    held = [merged()]
+                    held = [merged(held)]
         if held:
-            key, n = merged()
+            key, n = merged(held)
             known = list(names)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -147,33 +174,32 @@ def learn_profiles(
             )
 
     sums = rows.mapInArrow(tally, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # First the top of each of 16 parts of a language's n-grams, so that no task sorts all of one language's.
+    part = F.pmod(F.xxhash64("gram"), F.lit(16))
+    by_part = Window.partitionBy("lang", part).orderBy(F.desc("n"), "gram")
+    some = sums.withColumn("rank", F.row_number().over(by_part)).where(F.col("rank") <= profile_size)
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = sums.withColumn("rank", F.row_number().over(by_count) - 1).where(F.col("rank") < profile_size)
-    heard = top.groupBy("lang").agg(F.sum("n").alias("heard"), F.collect_list(F.struct("rank", "gram")).alias("list"))
-    found = heard.orderBy(F.desc("heard"), "lang").limit(max_languages).collect()
-    languages = sorted(r["lang"] for r in found)
-    codes = np.unique(np.array([g for r in found for _, g in r["list"]], dtype=np.uint64))
-    ranks = np.full((len(codes), len(languages)), profile_size, dtype=np.int64)
-    for r in found:
-        at = np.array(r["list"], dtype=np.int64).reshape(-1, 2)
-        ranks[np.searchsorted(codes, at[:, 1].astype(np.uint64)), languages.index(r["lang"])] = at[:, 0]
-    return Profiles(languages, codes, ranks, profile_size)
+    top = some.withColumn("rank", F.row_number().over(by_count) - 1).where(F.col("rank") < profile_size)
+    found = top.groupBy("lang").agg(F.collect_list(F.struct("rank", "gram")).alias("list")).collect()
+    found = sorted(found, key=lambda r: r["lang"])
+    lists = [np.array(r["list"], dtype=np.int64).reshape(-1, 2) for r in found]
+    orders = [np.argsort(x[:, 1]) for x in lists]
+    return Profiles(
+        [r["lang"] for r in found], [x[o, 1].astype(np.uint64) for x, o in zip(lists, orders, strict=True)], [x[o, 0] for x, o in zip(lists, orders, strict=True)], profile_size
+    )
 
 
 def distances(t: textscan.Texts, p: Profiles) -> np.ndarray:
     """Mean out-of-place distance of each text to each profile; a text without n-grams has the largest."""
     out = np.full((len(t), len(p.languages)), float(p.size))
-    gram, owner = grams(t)
-    owner, gram, rank = top_ranked(*counted(owner, gram), p.size)
-    if not len(owner) or not len(p.grams):
+    owner, gram, rank = top_ranked(*text_counts(t), p.size)
+    if not len(owner) or not p.languages:
         return out
-    k = np.minimum(np.searchsorted(p.grams, gram), len(p.grams) - 1)
-    known = p.grams[k] == gram
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     size = np.diff(np.append(first, len(owner)))
-    for j in range(len(p.languages)):
-        there = np.where(known, p.ranks[k, j], p.size)
-        d = np.where(there < p.size, np.abs(rank - there), p.size)
+    for j, (known, ranks) in enumerate(zip(p.grams, p.ranks, strict=True)):
+        k = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+        d = np.where(known[k] == gram, np.abs(rank - ranks[k]), p.size)
         out[owner[first], j] = np.add.reduceat(d, first) / size
     return out
 

@@ -4,9 +4,9 @@ The automaton is built once from the token sequences of all templates and base
 phrases; a separator that no text has keeps the sequences apart.  A text is
 streamed through it, which gives at each word the length of the longest run of
 words ending there that occurs in any template (the matching statistics).  A
-word outside the templates' vocabulary resets the state, and single known
-words between unknown ones can't matter, so only runs of two or more known
-words are streamed; word hashes find them for a whole batch of texts at once.
+word outside the templates' vocabulary resets the state, and runs of known
+words that are shorter than any phrase and than ``min_match`` can't matter, so
+only the longer ones are streamed; word hashes find them for a whole batch of texts at once.
 
 * A base phrase occurs where it is a suffix of the current match.
 * Matches that can't be extended to the right and have ``min_match`` words are
@@ -130,6 +130,7 @@ class Scanner:
     min_match: int
     max_gap: int
     min_cover: float
+    shortest: int  # words that a run needs to matter
 
     def chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
         """Covered spans ``(template, first word, word after the last, words covered)`` of right-maximal matches."""
@@ -198,7 +199,7 @@ def scanner(base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES,
     for v in sorted(range(1, len(phrases)), key=automaton.length.__getitem__):
         phrases[v] = phrases[v] + phrases[automaton.link[v]]
     lookup = textscan.Lookup(np.array([textscan.hash_of(w.encode()) for w in words], dtype=np.uint64))
-    return Scanner(lookup, automaton, phrases, list(base.values()), [len(x.split()) for x in templates.values()], list(templates), min_match, max_gap, min_cover)
+    return Scanner(lookup, automaton, phrases, list(base.values()), [len(x.split()) for x in templates.values()], list(templates), min_match, max_gap, min_cover, min([min_match, *(len(x.split()) for x in base)]))
 
 
 FIELDS = T.StructType(
@@ -233,7 +234,7 @@ def scan(docs: DataFrame, text: str = "text", using: Scanner | None = None) -> D
             edge[first] = True  # a run ends where a text does
             opens = np.flatnonzero(known & (edge[:-1] | ~np.concatenate([[False], known[:-1]])))
             closes = np.flatnonzero(known & (edge[1:] | ~np.concatenate([known[1:], [False]]))) + 1
-            long = closes - opens >= 2
+            long = closes - opens >= s.shortest
             opens, closes = opens[long], closes[long]
             of = np.searchsorted(first, opens, "right") - 1
             runs: dict[int, list[tuple[int, int, int]]] = {}

@@ -20,7 +20,8 @@ A document's set are its distinct word shingles as 64-bit hashes.
   that share a band and lie in different components are compared, in order of
   the estimate, and only links that join components come out.  So no rows are
   made for pairs, nobody is dropped or capped, and linked members are not
-  compared among themselves.
+  compared among themselves.  A text goes to as many groups as its cluster has
+  blocks: m texts that are alike but not linked move m * m / 256 texts.
 * Verification: the two sketches' joint likelihood of the similarity turns
   hopeless pairs away (a likelihood ratio of e^-25), then the full sets, made
   anew from the texts, decide.  A centre's members are dealt over salted groups
@@ -32,7 +33,8 @@ Defined results: a null text, or one without words, has an empty set and is
 its own component; fewer words than a shingle make one shingle; a null id
 takes no part in naming, its component is the smallest id of the texts it is
 linked with, else null, and it is kept only in the latter case; rows that
-repeat an id with the same text get the same result each.
+repeat an id with the same text get the same result each.  Ids may be of any
+type that can be sorted.
 """
 
 from __future__ import annotations
@@ -46,24 +48,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .frames import fresh, text_batches
-from .store import left_out, materialize
+from .frames import fresh
+from .store import left_out, materialize, named, numbered, small
 
 REGISTERS, BANDS, ROWS = 128, 32, 4
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: Points are drawn in blocks of these sizes; the sums within a block depend on nothing else.
 _BLOCKS = (1, 1, 2, 4, 8, 16)
+#: Elements whose points are drawn at once.
+ELEMENTS = 1 << 18
 _STEP, _SIDE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SHINGLE = [np.uint64(x | 1) for x in (0x8CB92BA72F3D8DD6, 0xD1B54A32D192ED02, 0xAEF17502108EF2D8, 0x9FB21C651E98DF24, 0xE7037ED1A0B428DA, 0xA0761D6478BD642E)]
 
 
 def shingles(t: textscan.Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, and where each text's begin."""
-    t = t.lowered()
-    starts, ends, first = textscan.word_spans(t, textscan.SPACED)
-    if not len(starts):
+    h, first = textscan.word_hashes(t.lowered(), textscan.SPACED)
+    if not len(h):
         return np.zeros(0, np.uint64), np.zeros(len(t) + 1, np.int64)
-    h = textscan.Hasher(t.data)(starts, ends)
     n = np.diff(first)
     full = np.zeros(len(h), dtype=np.uint64)
     for j in range(min(width, len(h))):
@@ -98,28 +100,30 @@ def sketches(elements: np.ndarray, first: np.ndarray, registers: int = REGISTERS
         end[todo] = (math.log(registers) + slack) / n[todo]
         chosen = np.zeros(sets, dtype=bool)
         chosen[todo] = True
-        owner = np.repeat(np.arange(sets), n)
-        at = np.flatnonzero(chosen[owner])
-        owner, e = owner[at], elements[at]
-        time = np.zeros(len(e))
-        until = end[owner]
+        every = np.repeat(np.arange(sets), n)
+        some = np.flatnonzero(chosen[every])
         flat = least.reshape(-1)
-        drawn = block = 0
-        while len(e):
-            size = _BLOCKS[min(block, len(_BLOCKS) - 1)]
-            counter = np.arange(drawn + 1, drawn + size + 1, dtype=np.uint64) * _STEP
-            bits = textscan.mix(e[:, None] + counter[None, :])
-            gap = np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-            gap /= -registers
-            gap[:, 0] += time
-            times = np.cumsum(gap, axis=1)
-            where = (bits * _SIDE >> np.uint64(40)).astype(np.int64) % registers
-            early = times <= until[:, None]
-            target = (owner[:, None] * registers + where)[early]
-            np.minimum.at(flat, target, times[early])
-            on = early[:, -1]
-            time, e, owner, until = times[on, -1], e[on], owner[on], until[on]
-            drawn, block = drawn + size, block + 1
+        # Smallest times merge, so a long text's elements go through in parts.
+        for lo in range(0, len(some), ELEMENTS):
+            at = some[lo : lo + ELEMENTS]
+            owner, e = every[at], elements[at]
+            time, until = np.zeros(len(e)), end[owner]
+            drawn = block = 0
+            while len(e):
+                size = _BLOCKS[min(block, len(_BLOCKS) - 1)]
+                counter = np.arange(drawn + 1, drawn + size + 1, dtype=np.uint64) * _STEP
+                bits = textscan.mix(e[:, None] + counter[None, :])
+                gap = np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+                gap /= -registers
+                gap[:, 0] += time
+                times = np.cumsum(gap, axis=1)
+                where = (bits * _SIDE >> np.uint64(40)).astype(np.int64) % registers
+                early = times <= until[:, None]
+                target = (owner[:, None] * registers + where)[early]
+                np.minimum.at(flat, target, times[early])
+                on = early[:, -1]
+                time, e, owner, until = times[on, -1], e[on], owner[on], until[on]
+                drawn, block = drawn + size, block + 1
         # A register that no point reached in time needs later points (once in some thousand sets).
         todo = todo[np.isinf(least[todo]).any(axis=1)]
         slack *= 2
@@ -196,15 +200,14 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     names=["doc_id", "n", "sum_a", "sum_b", "bands"],
                 )
 
-    rows = text_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, sum_a long, sum_b long, bands array<long>")
 
 
 def _texts(docs: DataFrame, key: str, text: str, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
-    """The texts of the rows of ``wanted`` (by ``id``), which is sent to the executors if it was counted to be small."""
-    small = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
-    texts = text_batches(docs).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    return texts.join(F.broadcast(wanted) if small else wanted.hint("merge"), "id")
+    """The texts of the rows of ``wanted`` (by ``id``), which is sent to the executors if it was measured to be small."""
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    return texts.join(F.broadcast(wanted) if small(wanted, broadcast_rows) else wanted.hint("merge"), "id")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, key: str, text: str, width: int, percent: int, group: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -355,6 +358,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    kind = docs.schema[key].dataType
+    rows, names = numbered(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id")
+    found = _classes(rows, "doc_id", "text", width, percent)
+    return named(named(found, names, "doc_id", kind), names, "component_id", kind)
+
+
+def _classes(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     signed = materialize(signatures(docs, key, text, width), "dup-signatures")
     sets = signed.where(F.col("n") > 0).groupBy("sum_a", "sum_b", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     sets = materialize(sets, "dup-sets")

@@ -22,7 +22,8 @@ record.  Files go through ``pyarrow.fs``, which opens local, HDFS, S3 and GCS
 addresses on every executor.
 
 Defined results: a null payload is an empty one; a null key counts as the
-smallest and has no key header; rows with the same key and the same payload
+smallest and has no key header, and such records are dealt over the shards by
+their digest; rows with the same key and the same payload
 are all responses if that key is the largest of the payload, else all revisit
 the same record; an empty table makes an archive without files; columns
 beside key, address and payload are not stored.
@@ -42,8 +43,8 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .frames import text_batches
 from .store import materialize
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -194,7 +195,9 @@ def write_archive(
 ) -> DataFrame:
     """Write ``pages`` below ``path`` and return the manifest table."""
     spark = pages.sparkSession
-    rows = text_batches(pages).select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
+    if not isinstance(pages.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"keys of records are whole numbers; {key} is not")
+    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("len", F.octet_length("payload").cast("long"))
     narrow = materialize(rows.select("key", "digest", "len"), "warc-narrow")
     decisions = revisits(narrow, min_revisit_bytes)
@@ -208,7 +211,9 @@ def write_archive(
             k = b.column(0)
             keys = np.asarray(k.fill_null(0))
             shard = np.searchsorted(starts.value, keys, "right")
-            shard[np.asarray(k.is_null())] = 0
+            none = np.asarray(k.is_null())
+            # Without a key there is no order, so these go everywhere; a decision has its record's digest.
+            shard[none] = [zlib.crc32(d.encode()) % (len(starts.value) + 1) for d in b.column("digest").filter(k.is_null()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard, pa.int32())], names=[*b.schema.names, "shard"])
 
     placed = both.mapInArrow(place, "key long, url string, payload string, digest string, len long, refers_to long, shard int")

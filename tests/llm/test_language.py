@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import language_id as I
 from sparkloom.llm import textscan
+from sparkloom.llm.queries import op7_language
 
 
 def plain_grams(text):
@@ -45,7 +47,7 @@ def test_distances_equal_plain_out_of_place(spark):
     total = {lang: sum((plain_grams(t) for t, x in zip(texts, langs, strict=True) if x == lang), Counter()) for lang in p.languages}
     lists = {lang: {code(g): i for i, g in enumerate(ranked(total[lang], 120))} for lang in p.languages}
     for j, lang in enumerate(p.languages):
-        assert {int(g): int(k) for g, k in zip(p.grams, p.ranks[:, j], strict=True) if k < 120} == lists[lang]
+        assert {int(g): int(k) for g, k in zip(p.grams[j], p.ranks[j], strict=True)} == lists[lang]
     probe = [*texts[:5], "The the, then!", "ß", "x y"]
     (t,) = textscan.chunks(I._lower(pa.array(probe)))
     got = I.distances(t, p)
@@ -78,3 +80,44 @@ def test_odd_rows(spark):
     assert I.identify(docs.limit(0), p).count() == 0
     one = I.learn_profiles(docs.where("lang = 'de'"))
     assert by_id(I.identify(docs, one))[3]["lang_pred"] == "de"
+
+
+def test_a_long_text_is_counted_in_pieces(monkeypatch):
+    r = rng(11)
+    text = prose(r, "fr", 300) + "!!" + "é" * 40 + " x"
+    (whole,) = textscan.chunks(pa.array([text.lower()]))
+    want = I.text_counts(whole)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(I, "CHUNK_BYTES", size)
+        assert all((a == b).all() for a, b in zip(want, I.text_counts(whole), strict=True))
+
+
+def test_many_languages_repeated_rows_and_equal_distances(spark):
+    r = rng(12)
+    langs = [f"l{i:04d}" for i in range(1200)]
+    docs = documents(spark, [prose(r, words=4) for _ in langs], langs)
+    assert I.learn_profiles(docs).languages == langs
+    same = documents(spark, ["a b c"] * 4 + ["zz yy"], ["q", "p", "p", "q", None])
+    p = I.learn_profiles(same)
+    got = I.identify(same.unionByName(same).withColumn("doc_id", F.lit(None).cast("long")), p).collect()
+    assert {(r["lang_pred"], round(r["score"], 9)) for r in got} == {("p", 0.5)} and len(got) == 10
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    r = rng(13)
+    langs = [r.choice(["en", "fr", "de", None]) for _ in range(60)]
+    texts = [prose(r, x or "en", r.randint(1, 40)) for x in langs] + ODD
+    langs += ["en"] * len(ODD)
+    documents(spark, texts, langs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(op7_language(spark, str(tmp_path)))
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2 and langs[i] and texts[i] is not None]
+    known = sorted({langs[i] for i in train})
+    lists = {x: {code(g): k for k, g in enumerate(ranked(sum((plain_grams(texts[i]) for i in train if langs[i] == x), Counter()), 400))} for x in known}
+    for i, t in enumerate(texts):
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        if not t or not any(c.isalpha() for c in t):
+            assert got[i]["lang_pred"] == "und"
+            continue
+        mine = ranked(plain_grams(t), 400)
+        d = sorted((sum(abs(k - lists[x][code(g)]) if code(g) in lists[x] else 400 for k, g in enumerate(mine)) / len(mine), x) for x in known)
+        assert got[i]["lang_pred"] == d[0][1] and abs(got[i]["score"] - d[1][0] / (d[0][0] + d[1][0])) < 1e-9

@@ -66,3 +66,9 @@ def test_clashing_columns_repeated_rows_and_empty_table(spark):
     out = L.scan(docs)
     assert [r["labels"] for r in out.collect()] == ["apache", "apache"]
     assert L.scan(docs.limit(0)).count() == 0
+
+
+def test_a_base_phrase_of_one_word(spark):
+    using = L.scanner(base={"mit": "mit", "cc by": "cc-by"}, templates={"t": "a b c d e"})
+    got = {r["doc_id"]: r for r in L.scan(documents(spark, ["the MIT one", "mit cc by mit", "cc", None]), using=using).collect()}
+    assert [(got[i]["n_base"], got[i]["first_word"], got[i]["base_labels"]) for i in range(4)] == [(1, 1, "mit"), (3, 0, "cc-by,mit"), (0, None, ""), (0, None, "")]
