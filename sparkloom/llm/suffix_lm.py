@@ -57,8 +57,8 @@ from .store import materialize
 #: The end of a text, as a hash that is not made from bytes.
 END = np.uint64(0x0123456789ABCDEF)
 _DISTINCT = 1 << 20
-#: Bits of a bitmap of the keys in a table: 1 MB in memory, however many keys there are.
-FILTER_BITS = 23
+#: Bits of a bitmap of the keys in a table, as a power of two: 8 MB in memory, however many keys there are.
+FILTER_BITS = 26
 _BASE, _PAIR = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
 #: Tokens whose contexts are looked at together.
 SLICE = 1 << 18
@@ -132,21 +132,23 @@ class Tally:
 class Bitmap:
     """Whether a key may be in a table: no false absence."""
 
-    def __init__(self, slots: np.ndarray, bits: int = FILTER_BITS):
-        self.shift = np.uint64(64 - bits)
-        flags = np.zeros(1 << bits, dtype=bool)
-        flags[slots] = True
-        self.packed = np.packbits(flags, bitorder="little")
+    def __init__(self, words: np.ndarray):
+        self.words = words
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        slot = h >> self.shift
-        return self.packed[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0
+        slot = h >> np.uint64(64 - FILTER_BITS)
+        return self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1) > 0
 
 
 def bitmap(keys: DataFrame, name: str = "h") -> Bitmap:
-    """Of a table's keys: at most 2^FILTER_BITS numbers come to the driver."""
-    slots = keys.select(F.shiftrightunsigned(name, 64 - FILTER_BITS).cast("int").alias("s")).distinct().toArrow()
-    return Bitmap(np.asarray(slots["s"], dtype=np.int64))
+    """Of a table's keys, put together by the executors: at most 2^FILTER_BITS / 64 words come to the driver."""
+    slot = F.shiftrightunsigned(name, 64 - FILTER_BITS)
+    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
+    words = keys.select(slot.alias("slot")).select(F.shiftright("slot", 6).cast("int").alias("word"), bit.alias("bit"))
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    made = np.zeros(1 << FILTER_BITS - 6, dtype=np.uint64)
+    made[np.asarray(got["word"], dtype=np.int64)] = np.asarray(got["bits"], dtype=np.int64).view(np.uint64)
+    return Bitmap(made)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -318,10 +320,10 @@ def learn(
     where: Column | None = None,
     text: str = "text",
     depth: int = 3,
-    min_context: int = 32,
-    min_follower: int = 4,
+    min_context: int = 64,
+    min_follower: int = 8,
     head: int = 1 << 18,
-    tree_head: int = 1 << 19,
+    tree_head: int = 1 << 20,
 ) -> Model:
     """Counts and tree of all rows of ``docs`` that meet ``where``."""
     if not 1 <= min_follower <= min_context:
