@@ -35,9 +35,14 @@ def split_statements(script: str) -> list[str]:
 
 
 def translate(sql: str) -> str:
-    """Infix regular expressions (``~`` and ``!~``), which Spark's parser lacks, as RLIKE."""
+    """Infix regular expressions (``~``, ``!~``, and ``~*``, ``!~*`` for either case), which Spark's parser lacks, as RLIKE."""
     parts = re.split(r"('(?:[^']|'')*')", sql)
     for k in range(0, len(parts), 2):
+        # A pattern for either case has the flag before it, in the text that follows.
+        if re.search(r"~\*\s*$", parts[k]) and k + 1 < len(parts):
+            parts[k + 1] = "'(?i)" + parts[k + 1][1:]
+            parts[k] = re.sub(r"~\*\s*$", "~ ", parts[k])
+        parts[k] = re.sub(r"~\*\s*([\w.]+)", r"~ concat('(?i)', \1)", parts[k])
         parts[k] = re.sub(r"\s*!~\s*", " NOT RLIKE ", parts[k])
         parts[k] = re.sub(r"(?<=[\w)\"`\]])\s+~\s*(?=$|[\w(])", " RLIKE ", parts[k])
     return "".join(parts)

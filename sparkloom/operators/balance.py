@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,19 +20,32 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.001) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2.0, share * total))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a checkpoint in shared storage, so a retried task reads what the first one read."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if root is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all nodes of the cluster share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="sparkloom-"))
+    return df.checkpoint()
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 16, share: float = 0.001) -> DataFrame:
     """Inner or left join on ``key`` where hot keys of ``left`` are dealt over ``salts`` partitions.
 
-    Only the hot keys' right rows are copied, once for each salt; other keys
-    keep salt 0 on either side.  Which keys are hot is counted, and they are at
-    most 1 / share, so they may be broadcast.
+    Which keys are hot is counted; they are at most 1 / share, so they may be
+    broadcast.  Their left rows are written first and dealt by their place in
+    what was written: equal rows are spread too, and a retried task deals them
+    alike.  Only the hot keys' right rows are copied, once for each salt; all
+    other rows are joined as they are.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    hot = F.broadcast(heavy_keys(left, key, share).select(F.col(key).alias("__hot")))
-    is_hot = F.col("__hot").isNotNull()
-    spread = F.when(is_hot, F.pmod(F.xxhash64(*[c for c in left.columns]), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    l = left.join(hot, left[key] == F.col("__hot"), "left").withColumn("__salt", spread).drop("__hot")
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    r = right.join(hot, right[key] == F.col("__hot"), "left").withColumn("__salt", F.explode(copies)).drop("__hot")
-    return l.join(r, [key, "__salt"], how).drop("__salt")
+    hot = heavy_keys(left, key, share).select(F.col(key).alias("__hot"))
+    hot = F.broadcast(hot.where(F.col("__hot").isNotNull()))
+    cold = left.join(hot, left[key] == F.col("__hot"), "left_anti").join(right, key, how)
+    place = F.monotonically_increasing_id()
+    spread = written(left.join(hot, left[key] == F.col("__hot"), "left_semi")).withColumn("__salt", F.pmod(F.xxhash64(place), F.lit(salts)).cast("int"))
+    copies = right.join(hot, right[key] == F.col("__hot"), "left_semi").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return cold.unionByName(spread.join(copies, [key, "__salt"], how).drop("__salt"))

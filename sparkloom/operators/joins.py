@@ -120,10 +120,19 @@ def theta_join(left: DataFrame, right: DataFrame, condition: str, how: str = "in
 
 
 def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """``left_key NOT IN (SELECT right_key ...)``: nothing if a right key is null, and no null left key unless right is empty."""
-    l, r = left.alias("l"), right.select(F.col(right_key).alias("__in")).alias("r")
-    same = F.col(f"l.`{left_key}`") == F.col("r.__in")
-    return l.join(r, same | same.isNull(), "left_anti").select(*[F.col(f"l.`{c}`") for c in left.columns])
+    """``left_key NOT IN (SELECT right_key ...)``: nothing if a right key is null, and no null left key unless right is empty.
+
+    An anti join on the key, for which the planner may broadcast, hash or sort
+    as the sides' sizes suggest; what nulls and an empty right side mean comes
+    from one row of counts, the only thing that is always broadcast.
+    """
+    keys = right.select(F.col(right_key).alias("__in"))
+    counts = keys.agg(F.count(F.lit(1)).alias("__rows"), F.count("__in").alias("__keys"))
+    l, r = left.alias("l"), keys.where(F.col("__in").isNotNull()).alias("r")
+    key = F.col(f"l.`{left_key}`")
+    kept = l.join(r, key == F.col("r.__in"), "left_anti").crossJoin(F.broadcast(counts))
+    holds = (F.col("__rows") == 0) | (key.isNotNull() & (F.col("__keys") == F.col("__rows")))
+    return kept.where(holds).select(*[F.col(f"l.`{c}`") for c in left.columns])
 
 
 def chain(base: DataFrame, others: Sequence[tuple[DataFrame, Key | Sequence[Key]]], how: str = "inner", strategy: str = "auto") -> DataFrame:

@@ -38,3 +38,4 @@ R.sql("json_field", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT)
 R.sql("array_functions", "SELECT vec_id, size(embedding) AS n, round(CAST(embedding[0] AS DOUBLE), 6) AS head FROM {embeddings}", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, round(CAST(embedding[1] AS DOUBLE), 6) AS head FROM embeddings")
 R.sql("cte", "WITH spend AS (SELECT o_custkey, sum(o_totalprice) AS total FROM {orders} GROUP BY o_custkey), best AS (SELECT max(total) AS top FROM spend) SELECT o_custkey, round(total, 2) AS total FROM spend, best WHERE total > top * 0.8")
 R.sql("limit_offset", "SELECT c_custkey FROM {customer} ORDER BY c_acctbal DESC, c_custkey LIMIT 10 OFFSET 5")
+R.sql("map_functions", "SELECT c_custkey, m['a'] AS a, CAST(size(m) AS INTEGER) AS n FROM (SELECT c_custkey, map('a', c_nationkey, 'b', c_nationkey + 1) AS m FROM {customer}) t", "SELECT c_custkey, m['a'] AS a, CAST(cardinality(m) AS INTEGER) AS n FROM (SELECT c_custkey, MAP {'a': c_nationkey, 'b': c_nationkey + 1} AS m FROM customer) t")

@@ -39,9 +39,10 @@ WHERE o_orderdate >= DATE '1996-07-01' AND o_orderdate < DATE '1996-10-01' AND E
 GROUP BY o_orderpriority ORDER BY o_orderpriority
 """)
 R.sql("tpch_q05", f"""
-SELECT n_name, r_name, round(sum({_REVENUE}), 2) AS revenue FROM {{customer}}, {{orders}}, {{lineitem}}, {{supplier}}, {{nation}}, {{region}}
+SELECT n_name, round(sum({_REVENUE}), 2) AS revenue FROM {{customer}}, {{orders}}, {{lineitem}}, {{supplier}}, {{nation}}, {{region}}
 WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey
-GROUP BY n_name, r_name ORDER BY revenue DESC
+  AND r_name = 'ASIA' AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01'
+GROUP BY n_name ORDER BY revenue DESC
 """)
 R.sql("tpch_q06", """
 SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM {lineitem}

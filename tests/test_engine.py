@@ -104,3 +104,10 @@ def test_bucketed_tables_join_without_an_exchange(spark):
     assert introspect.exchanges(both) == [] and introspect.joins(both)[0].node == "SortMergeJoin"
     assert both.count() == 500
     spark.sql("DROP TABLE bucketed_a"), spark.sql("DROP TABLE bucketed_b")
+
+
+def test_regular_expressions_of_either_case(spark):
+    spark.sql("SELECT * FROM VALUES ('Ab'), ('cd') AS t(x)").createOrReplaceTempView("words_t")
+    for op, want in (("~* 'AB'", ["Ab"]), ("!~* 'aB'", ["cd"]), ("~ 'ab'", []), ("!~ 'ab'", ["Ab", "cd"]), ("~* x", ["Ab", "cd"])):
+        (got,) = sqltext.run_script(spark, f"SELECT x FROM words_t WHERE x {op} ORDER BY x")
+        assert [r["x"] for r in got.collect()] == want

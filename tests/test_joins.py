@@ -3,6 +3,9 @@
 import pytest
 
 from sparkloom.functions import generators
+from pyspark.sql import functions as F
+
+from sparkloom.operators import balance
 from sparkloom.operators import joins as J
 from sparkloom.operators.balance import heavy_keys, rebalance, salted_join
 from sparkloom.plans import introspect
@@ -184,3 +187,25 @@ def test_random_tables_against_brute_force(spark, seed, null_safe, residual):
     for how in J.JOIN_TYPES:
         got = rows(J.join(l, rt, "id", how, residual="l.v < r.v" if residual else None, null_safe=null_safe))
         assert got == brute(left, right, how, lambda a, b: same(a[0], b[0]) and less(a[1], b[1])), how
+
+
+def test_not_in_large_right_side_is_not_broadcast(spark):
+    left = spark.range(100).selectExpr("CASE WHEN id % 7 = 0 THEN NULL ELSE id END AS k")
+    right = spark.range(20_000_000).selectExpr("id * 2 AS k")
+    out = J.not_in(left, right, "k", "k")
+    anti = [j for j in introspect.joins(out) if j.join_type == "LeftAnti"]
+    assert anti and all(j.node != "BroadcastHashJoin" or j.build == "left" for j in anti)
+    some = J.not_in(left, right.limit(30), "k", "k")
+    assert {r["k"] for r in some.collect()} == {i for i in range(100) if i % 7} - {r["k"] for r in right.limit(30).collect()}
+    assert J.not_in(left, right.limit(0), "k", "k").count() == 100
+    assert J.not_in(left, right.limit(3).union(spark.sql("SELECT CAST(NULL AS BIGINT)")), "k", "k").count() == 0
+
+
+def test_equal_rows_of_a_hot_key_are_spread(spark):
+    left = spark.range(20_000).selectExpr("CASE WHEN id < 15000 THEN 1 ELSE CAST(id AS INT) END AS k")
+    right = spark.createDataFrame([(1, "x"), (16_000, "y"), (1, "z")], "k int, v string")
+    for how, n in (("inner", 30_001), ("left", 30_000 + 5_000)):
+        out = balance.salted_join(left, right, "k", how, salts=8, share=0.01)
+        assert out.columns == ["k", "v"] and out.count() == n
+    hot = balance.written(left.where("k = 1")).withColumn("s", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(8)))
+    assert hot.select("s").distinct().count() == 8
