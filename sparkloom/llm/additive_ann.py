@@ -43,6 +43,10 @@ from pyspark.sql import types as T
 from .store import materialize, named, numbered
 
 
+#: Codes that are scored at once; the best so far go on to the next ones of the block.
+SCAN = 16384
+
+
 @dataclass
 class Codebooks:
     words: np.ndarray  # [books, size, dimension]
@@ -160,11 +164,11 @@ def search(
     key: str = "vec_id",
     vector: str = "embedding",
     k: int = 10,
-    pool: int = 512,
+    pool: int = 256,
     share: float = 0.02,
     least: int = 40,
-    row_block: int = 16384,
-    query_block: int = 4096,
+    row_block: int = 1 << 18,
+    query_block: int = 2048,
     **options,
 ) -> DataFrame:
     """``query_id, rank, id, score`` of the rows that ``is_query`` (a condition on ``id``) names, against all others."""
@@ -193,14 +197,20 @@ def search(
             ids, norm = np.asarray(r["id"]), np.asarray(r["norm"], dtype=np.float32)
             codes = np.frombuffer(b"".join(r["code"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
             own, y = np.asarray(q["id"]), _matrix(q["v"])
-            n = min(taken, len(ids))
             for lo in range(0, len(own), 64):
                 part, mine = y[lo : lo + 64], own[lo : lo + 64]
-                near = np.repeat(norm[:, None], len(part), axis=1)
-                for m in range(len(words)):
-                    near += np.take((-2 * words[m] @ part.T).astype(np.float32), codes[:, m], axis=0)
-                best = np.argpartition(near, n - 1, axis=0)[:n]
-                found.append((np.repeat(mine, n), ids[best.T.ravel()], np.take_along_axis(near, best, axis=0).T.ravel().astype(float)))
+                tables = [(-2 * w @ part.T).astype(np.float32) for w in words]
+                value, place = np.zeros((0, len(part)), np.float32), np.zeros((0, len(part)), np.int64)
+                for a in range(0, len(ids), SCAN):
+                    near = np.repeat(norm[a : a + SCAN, None], len(part), axis=1)
+                    for m, t in enumerate(tables):
+                        near += np.take(t, codes[a : a + SCAN, m], axis=0)
+                    rows = np.repeat(np.arange(a, a + len(near))[:, None], len(part), axis=1)
+                    value, place = np.concatenate([value, near]), np.concatenate([place, rows])
+                    if len(value) > taken:
+                        best = np.argpartition(value, taken - 1, axis=0)[:taken]
+                        value, place = np.take_along_axis(value, best, axis=0), np.take_along_axis(place, best, axis=0)
+                found.append((np.repeat(mine, len(value)), ids[place.T.ravel()], value.T.ravel().astype(float)))
         cols = [np.concatenate([f[j] for f in found]) if found else np.zeros(0, t) for j, t in enumerate((np.int64, np.int64, float))]
         return pa.table({"query_id": cols[0], "id": cols[1], "near": cols[2]})
 
