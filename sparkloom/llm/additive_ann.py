@@ -164,7 +164,7 @@ def search(
     key: str = "vec_id",
     vector: str = "embedding",
     k: int = 10,
-    pool: int = 256,
+    pool: int = 512,
     share: float = 0.02,
     least: int = 40,
     row_block: int = 1 << 18,
