@@ -28,8 +28,8 @@ over) and ``v`` of each (state, token) pair (its log-ratio, less what the next
 shorter pair gave).  So scoring needs no walk: it sums the values of the keys
 that the table has.  The values that are wanted most often go along with the
 code (at most ``head``), unigram counts alike; for the others a text sends one
-row for each distinct key to the tables, by a shuffle.  A bitmap of bounded
-size tells most absent keys.
+row for each distinct key to the tables, by a shuffle.  A Bloom filter of
+bounded size tells most absent keys.
 
 Defined results: a null text is empty and has the end as its only token;
 without training texts every token's base probability is that of an unknown
@@ -57,8 +57,10 @@ from .store import materialize
 #: The end of a text, as a hash that is not made from bytes.
 END = np.uint64(0x0123456789ABCDEF)
 _DISTINCT = 1 << 20
-#: Bits of a bitmap of the keys in a table, as a power of two: 8 MB in memory, however many keys there are.
-FILTER_BITS = 26
+#: Bits of a filter of the keys in a table, as powers of two: 12 for each key between these bounds, so 32 MB in memory at most.
+FILTER_BITS = (16, 28)
+#: Bits that a key sets in its filter.
+PROBES = 3
 _BASE, _PAIR = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
 #: Tokens whose contexts are looked at together.
 SLICE = 1 << 18
@@ -130,23 +132,35 @@ class Tally:
 
 
 class Bitmap:
-    """Whether a key may be in a table: no false absence."""
+    """Whether a key may be in a table, as a Bloom filter: no false absence."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        slot = h >> np.uint64(64 - FILTER_BITS)
-        return self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1) > 0
+        mask = np.uint64(64 * len(self.words) - 1)
+        at, step = h >> np.uint64(36) & mask, h >> np.uint64(8) & mask | np.uint64(1)
+        out, open_ = np.zeros(len(h), dtype=bool), np.arange(len(h))
+        # Most absent keys miss the first bit, so the others are looked up for few.
+        for _ in range(PROBES):
+            bits = self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) > 0
+            at, step, open_ = at[bits], step[bits], open_[bits]
+            at = at + step & mask
+        out[open_] = True
+        return out
 
 
 def bitmap(keys: DataFrame, name: str = "h") -> Bitmap:
-    """Of a table's keys, put together by the executors: at most 2^FILTER_BITS / 64 words come to the driver."""
-    slot = F.shiftrightunsigned(name, 64 - FILTER_BITS)
+    """Of a table's keys, put together by the executors: at most 2^22 words of 64 bits come to the driver."""
+    least, most = FILTER_BITS
+    bits = min(max((12 * keys.count()).bit_length(), least), most)
+    mask = F.lit((1 << bits) - 1)
+    at, step = F.shiftrightunsigned(name, 36).bitwiseAND(mask), F.shiftrightunsigned(name, 8).bitwiseAND(mask).bitwiseOR(F.lit(1))
+    slots = keys.select(F.explode(F.array(*[(at + step * i).bitwiseAND(mask) for i in range(PROBES)])).alias("slot"))
     bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
-    words = keys.select(slot.alias("slot")).select(F.shiftright("slot", 6).cast("int").alias("word"), bit.alias("bit"))
+    words = slots.select(F.shiftright("slot", 6).cast("int").alias("word"), bit.alias("bit"))
     got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    made = np.zeros(1 << FILTER_BITS - 6, dtype=np.uint64)
+    made = np.zeros(1 << bits - 6, dtype=np.uint64)
     made[np.asarray(got["word"], dtype=np.int64)] = np.asarray(got["bits"], dtype=np.int64).view(np.uint64)
     return Bitmap(made)
 
@@ -236,11 +250,10 @@ def grow(rows: DataFrame, counts: DataFrame, divisor: float, depth: int, min_con
 
         # What the bitmaps let through by chance goes here: counts and contexts are exact.
         found = _counted(rows, grams, ["ctx", "x"]).where(F.col("c") >= min_follower)
-        found = materialize(found.join(heads, "ctx"), f"lm-followers{n}")
         # A follower of a context follows its suffixes too, so the level below has a row for each.
-        measured = found.join(below, ["shorter", "x"])
-        measured = materialize(measured.withColumn("own", F.ln((F.col("c") - F.lit(discount)) / F.col("total"))), f"lm-measured{n}")
-        per = measured.groupBy("ctx").agg(
+        found = found.join(heads, "ctx").join(below, ["shorter", "x"])
+        found = materialize(found.withColumn("own", F.ln((F.col("c") - F.lit(discount)) / F.col("total"))), f"lm-followers{n}")
+        per = found.groupBy("ctx").agg(
             F.first("shorter").alias("shorter"), F.first("total").alias("total"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("counted"),
             F.sum(F.col("c") * (F.ln(F.col("c") / F.col("total")) - F.col("lower"))).alias("gain"),
             F.sum(F.exp("own")).alias("own"), F.sum(F.exp("lower")).alias("lower"),
@@ -250,8 +263,8 @@ def grow(rows: DataFrame, counts: DataFrame, divisor: float, depth: int, min_con
         rest = F.when(left > 0, left * (F.ln(left / F.col("total")) - F.ln(over))).otherwise(F.lit(0.0))
         passed = F.col("gain") + rest > F.lit(0.5) * F.col("k") * F.ln("total")
         mass = F.log10(F.greatest(1 - F.col("own"), F.lit(1e-9)) / over)
-        levels.append((materialize(per.select("ctx", "shorter", "total", passed.alias("passed"), mass.alias("rest")), f"lm-states{n}"), measured))
-        below = measured.select(F.col("ctx").alias("shorter"), "x", "base", F.col("own").alias("lower"))
+        levels.append((materialize(per.select("ctx", "shorter", "total", passed.alias("passed"), mass.alias("rest")), f"lm-states{n}"), found))
+        below = found.select(F.col("ctx").alias("shorter"), "x", "base", F.col("own").alias("lower"))
 
     # From the longest on: a state stays if it passed or is a suffix of one that stays.
     values, needed = None, None
@@ -354,9 +367,9 @@ def learn(
 def _tree_gains(h: np.ndarray, begin: np.ndarray, depth: int, tree: textscan.Lookup, values: np.ndarray, may: Bitmap | None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """What the tree's head adds to each token, and the places and keys that only the rest of the tree can tell."""
     out, open_ = np.zeros(len(h)), []
+    found = np.zeros(0, dtype=np.int64)  # where the tree's head has the states that were last asked for
 
-    def told(at: np.ndarray, key: np.ndarray) -> None:
-        k = tree(key)
+    def told(at: np.ndarray, key: np.ndarray, k: np.ndarray) -> None:
         hit = k >= 0
         out[at[hit]] += values[k[hit]]
         if may is not None:
@@ -366,15 +379,22 @@ def _tree_gains(h: np.ndarray, begin: np.ndarray, depth: int, tree: textscan.Loo
                 open_.append((at[missed], key[missed]))
 
     def state(_: int, key: np.ndarray) -> np.ndarray:
-        there = tree(key) >= 0
-        return there if may is None else there | may(key)
+        nonlocal found
+        found = tree(key)
+        there = found >= 0
+        if may is not None:
+            missed = np.flatnonzero(~there)
+            there[missed] = may(key[missed])
+        found = found[there]
+        return there
 
     for lo in range(0, len(h), SLICE):
         # Places without a state go no further: the suffixes of a state are states.
         for at, key in contexts(h, begin, lo, min(lo + SLICE, len(h)), depth, state):
             if len(at):
-                told(at, key)
-                told(at, pair(key, h[at]))
+                told(at, key, found)
+                follower = pair(key, h[at])
+                told(at, follower, tree(follower))
     return out, open_
 
 

@@ -161,22 +161,27 @@ def hash_of(text: bytes) -> int:
 
 
 class Lookup:
-    """Position of a hash in a sorted table, -1 where it is absent; a bitmap turns most misses away early."""
+    """Position of a hash in a sorted table, -1 where it is absent; the first bits of a hash tell where in the table to look."""
 
     def __init__(self, hashes: np.ndarray, bits: int = 20):
         self.order = np.argsort(hashes, kind="stable")
         self.sorted = np.asarray(hashes, dtype=np.uint64)[self.order]
         self.shift = np.uint64(64 - bits)
-        self.bitmap = np.zeros(1 << bits, dtype=bool)
-        self.bitmap[self.sorted >> self.shift] = True
+        held = np.bincount((self.sorted >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.begin = np.concatenate([[0], np.cumsum(held)]).astype(np.int32)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, dtype=np.int64)
         if not len(self.sorted):
             return out
-        at = np.flatnonzero(self.bitmap[h >> self.shift])
-        x = h[at]
-        k = np.minimum(np.searchsorted(self.sorted, x), len(self.sorted) - 1)
-        hit = self.sorted[k] == x
-        out[at[hit]] = self.order[k[hit]]
+        slot = (h >> self.shift).astype(np.int64)
+        k, end, at = self.begin[slot], self.begin[slot + 1], np.arange(len(h))
+        while len(at):
+            # The others have either been found or come to the end of their slot.
+            at, k, end = (x[k < end] for x in (at, k, end))
+            there = self.sorted[k]
+            hit = there == h[at]
+            out[at[hit]] = self.order[k[hit]]
+            more = there < h[at]
+            at, k, end = at[more], k[more] + 1, end[more]
         return out
