@@ -13,12 +13,14 @@ import atexit
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SCRATCH: dict[str, str] = {}
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -63,26 +65,41 @@ def remove(spark: SparkSession, *paths: str) -> None:
 #: Rows of an Arrow batch where Spark's default would be used: that is made for numbers, and long texts fill hundreds of MB.
 BATCH_ROWS = 1000
 _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` gave and nothing reads any more."""
+    for t in tables:
+        if path := _PATHS.pop(t, None):
+            remove(t.sparkSession, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to shared storage and return the table.
 
     While it is written, texts go to Python in batches of ``BATCH_ROWS`` rows
-    unless the session asks for another size than the default; the session's
-    setting is the same afterwards.
+    unless the session asks for another size than the default, and what was
+    shuffled is deleted as soon as the table is there, not when the driver next
+    collects garbage; the session's settings are the same afterwards.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    was = spark.conf.get(_BATCH)
+    was, kept = spark.conf.get(_BATCH), spark.conf.get(_CLEANUP, None)
     if was == _DEFAULT:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+    if kept is not None:
+        spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         if was == _DEFAULT:
             spark.conf.set(_BATCH, was)
-    return spark.read.schema(df.schema).parquet(path)
+        if kept is not None:
+            spark.conf.set(_CLEANUP, kept)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 def numbered(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:

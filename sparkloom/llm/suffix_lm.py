@@ -39,6 +39,7 @@ be of any type.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,7 +53,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textscan
-from .store import materialize
+from .store import forget, materialize
 
 #: The end of a text, as a hash that is not made from bytes.
 END = np.uint64(0x0123456789ABCDEF)
@@ -62,6 +63,10 @@ FILTER_BITS = (16, 28)
 #: Bits that a key sets in its filter.
 PROBES = 3
 _BASE, _PAIR = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
+#: Reducers that one context's followers are dealt to, a power of two.
+SALTS = 16
+#: Parts in which the keys of texts meet the tables, one after the other.
+PARTS = 4
 #: Tokens whose contexts are looked at together.
 SLICE = 1 << 18
 
@@ -132,34 +137,26 @@ class Tally:
 
 
 class Bitmap:
-    """Whether a key may be in a table, as a Bloom filter: no false absence."""
+    """Whether a key may be in a table, as a Bloom filter whose bits for a key lie in one word: no false absence."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        mask = np.uint64(64 * len(self.words) - 1)
-        at, step = h >> np.uint64(36) & mask, h >> np.uint64(8) & mask | np.uint64(1)
-        out, open_ = np.zeros(len(h), dtype=bool), np.arange(len(h))
-        # Most absent keys miss the first bit, so the others are looked up for few.
-        for _ in range(PROBES):
-            bits = self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) > 0
-            at, step, open_ = at[bits], step[bits], open_[bits]
-            at = at + step & mask
-        out[open_] = True
-        return out
-
-
-def bitmap(keys: DataFrame, name: str = "h") -> Bitmap:
-    """Of a table's keys, put together by the executors: at most 2^22 words of 64 bits come to the driver."""
+        word = self.words[(h >> np.uint64(36) & np.uint64(len(self.words) - 1)).astype(np.int64)]
+        wanted = np.zeros(len(h), dtype=np.uint64)
+        for i in range(PROBES):
+            wanted |= np.uint64(1) << (h >> np.uint64(6 * i) & np.uint64(63))
+        return word & wanted == wanted
+
+
+def bitmap(keys: DataFrame, name: str = "h", rows: int | None = None) -> Bitmap:
+    """Of a table's keys, put together by the executors, a row a key: at most 2^22 words of 64 bits come to the driver."""
     least, most = FILTER_BITS
-    bits = min(max((12 * keys.count()).bit_length(), least), most)
-    mask = F.lit((1 << bits) - 1)
-    at, step = F.shiftrightunsigned(name, 36).bitwiseAND(mask), F.shiftrightunsigned(name, 8).bitwiseAND(mask).bitwiseOR(F.lit(1))
-    slots = keys.select(F.explode(F.array(*[(at + step * i).bitwiseAND(mask) for i in range(PROBES)])).alias("slot"))
-    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
-    words = slots.select(F.shiftright("slot", 6).cast("int").alias("word"), bit.alias("bit"))
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = min(max((12 * (keys.count() if rows is None else rows)).bit_length(), least), most)
+    word = F.shiftrightunsigned(name, 36).bitwiseAND(F.lit((1 << bits - 6) - 1)).cast("int").alias("word")
+    bit = " | ".join(f"shiftleft(1L, CAST(shiftrightunsigned(`{name}`, {6 * i}) & 63 AS INT))" for i in range(PROBES))
+    got = keys.select(word, F.expr(bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     made = np.zeros(1 << bits - 6, dtype=np.uint64)
     made[np.asarray(got["word"], dtype=np.int64)] = np.asarray(got["bits"], dtype=np.int64).view(np.uint64)
     return Bitmap(made)
@@ -170,12 +167,24 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _counted(rows: DataFrame, keys, columns: list[str]) -> DataFrame:
-    """``columns`` and ``c``: how often the arrays that ``keys(texts)`` gives, a key and what it stands for, have each, over all rows."""
+    """``columns`` and ``c``: how often the arrays that ``keys(texts)`` gives, a key and what it stands for, have each, over all rows.
+
+    Keys that stand for a context and a follower go to the reducers by the
+    context, dealt further by the follower so that no context lands in one
+    task, and in that order: beside its neighbours a row then takes little more
+    than its follower.
+    """
+    pairs = len(columns) > 1
+
+    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+        if not pairs:
+            return pa.RecordBatch.from_arrays([_signed(found[0]), _signed(found[1])], names=[*columns, "c"])
+        _, c, ctx, x = found
+        order = np.lexsort((x & np.uint64(SALTS - 1), ctx))
+        return pa.RecordBatch.from_arrays([_signed(ctx[order]), _signed(x[order]), _signed(c[order])], names=[*columns, "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
-        # The key itself goes out only where it stands for nothing else.
-        out = lambda x: pa.RecordBatch.from_arrays([_signed(a) for a in (x[2:] or x[:1])] + [_signed(x[1])], names=[*columns, "c"])
         for b in batches:
             for t in textscan.chunks(b.column(0)):
                 for arrays in keys(t):
@@ -184,8 +193,11 @@ def _counted(rows: DataFrame, keys, columns: list[str]) -> DataFrame:
         if last := tally.merged():
             yield out(last)
 
-    schema = ", ".join(f"{c} long" for c in [*columns, "c"])
-    return rows.mapInArrow(run, schema).groupBy(*columns).agg(F.sum("c").alias("c"))
+    counted = rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*columns, "c"]))
+    if not pairs:
+        return counted.groupBy(*columns).agg(F.sum("c").alias("c"))
+    dealt = counted.withColumn("salt", F.col(columns[1]).bitwiseAND(F.lit(SALTS - 1))).repartition(columns[0], "salt")
+    return dealt.groupBy(columns[0], "salt", columns[1]).agg(F.sum("c").alias("c")).drop("salt")
 
 
 def contexts(h: np.ndarray, begin: np.ndarray, lo: int, hi: int, depth: int, known=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -222,8 +234,25 @@ def _extended(rows: DataFrame, name: str) -> DataFrame:
     return materialize(rows.select("ctx", "shorter", "x", "c").mapInArrow(run, "ctx long, shorter long, total long"), name)
 
 
-def grow(rows: DataFrame, counts: DataFrame, divisor: float, depth: int, min_context: int, min_follower: int, discount: float = 0.75) -> DataFrame | None:
-    """The tree as ``h, v, c``, ``c`` being how often the key occurs; ``h, c`` of ``counts`` are the unigrams of ``rows``."""
+def _pair_keys(found: DataFrame) -> DataFrame:
+    """``h``: the keys of rows of ``ctx, x``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ctx, x = (np.asarray(b.column(c), dtype=np.int64).view(np.uint64) for c in ("ctx", "x"))
+            yield pa.RecordBatch.from_arrays([_signed(pair(ctx, x))], names=["h"])
+
+    return found.select("ctx", "x").mapInArrow(run, "h long")
+
+
+def grow(
+    rows: DataFrame, counts: DataFrame, divisor: float, depth: int, min_context: int, min_follower: int, discount: float = 0.75, passes: int = 2
+) -> DataFrame | None:
+    """The tree as ``h, v, c``, ``c`` being how often the key occurs; ``h, c`` of ``counts`` are the unigrams of ``rows``.
+
+    Each level is counted in ``passes`` over the texts, each of which counts
+    its share of the keys, so that only that share is on disk at once.
+    """
     context = rows.sparkSession.sparkContext
     follows = context.broadcast(bitmap(counts.where(F.col("c") >= min_follower)))
     base = (F.ln(F.col("c") + 0.5) - F.lit(math.log(divisor))).alias("base")
@@ -232,27 +261,42 @@ def grow(rows: DataFrame, counts: DataFrame, divisor: float, depth: int, min_con
     found = counts.select(F.lit(0).cast("long").alias("ctx"), F.lit(0).cast("long").alias("shorter"), F.col("h").alias("x"), "c")
     levels: list[tuple[DataFrame, DataFrame]] = []
     filters: list[Bitmap] = []
+    scratch: list[DataFrame] = []
     for n in range(1, depth + 1):
         # A follower, an end aside, makes a context with those that it follows, and occurs as often as that one.
         heads = _extended(found.where((F.col("c") >= min_context) & (F.col("x") != end)), f"lm-contexts{n}")
         if not heads.limit(1).count():
             break
+        scratch.append(heads)
         filters.append(bitmap(heads, "ctx"))
-        spread = context.broadcast(list(filters))
+        # From the second level on, what follows a context has to have followed the next shorter one.
+        before = bitmap(_pair_keys(found), rows=found.count()) if n > 1 else None
+        spread = context.broadcast((list(filters), before))
 
-        def grams(t: textscan.Texts, n=n, spread=spread) -> Iterator[list[np.ndarray]]:
+        def grams(t: textscan.Texts, share: int, n=n, spread=spread) -> Iterator[list[np.ndarray]]:
+            known, before = spread.value
             h, begin = tokens(t)
             for lo in range(0, len(h), SLICE):
-                *_, (at, key) = contexts(h, begin, lo, min(lo + SLICE, len(h)), n, lambda m, k: spread.value[m - 1](k))
+                *_, shorter, (at, key) = (None, *contexts(h, begin, lo, min(lo + SLICE, len(h)), n, lambda m, k: known[m - 1](k)))
                 ok = follows.value(h[at])
                 at, key = at[ok], key[ok]
-                yield [pair(key, h[at]), key, h[at]]
+                if before is not None:
+                    ok = before(pair(shorter[1][np.searchsorted(shorter[0], at)], h[at]))
+                    at, key = at[ok], key[ok]
+                both = pair(key, h[at])
+                ok = both % np.uint64(passes) == np.uint64(share)
+                yield [both[ok], key[ok], h[at[ok]]]
 
         # What the bitmaps let through by chance goes here: counts and contexts are exact.
-        found = _counted(rows, grams, ["ctx", "x"]).where(F.col("c") >= min_follower)
+        found = None
+        for share in range(passes):
+            part = _counted(rows, lambda t, share=share, grams=grams: grams(t, share), ["ctx", "x"]).where(F.col("c") >= min_follower)
+            scratch.append(part := materialize(part, f"lm-pairs{n}"))
+            found = part if found is None else found.unionAll(part)
         # A follower of a context follows its suffixes too, so the level below has a row for each.
         found = found.join(heads, "ctx").join(below, ["shorter", "x"])
         found = materialize(found.withColumn("own", F.ln((F.col("c") - F.lit(discount)) / F.col("total"))), f"lm-followers{n}")
+        scratch.append(found)
         per = found.groupBy("ctx").agg(
             F.first("shorter").alias("shorter"), F.first("total").alias("total"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("counted"),
             F.sum(F.col("c") * (F.ln(F.col("c") / F.col("total")) - F.col("lower"))).alias("gain"),
@@ -268,7 +312,8 @@ def grow(rows: DataFrame, counts: DataFrame, divisor: float, depth: int, min_con
 
     # From the longest on: a state stays if it passed or is a suffix of one that stays.
     values, needed = None, None
-    for per, measured in reversed(levels):
+    for per_level, measured in reversed(levels):
+        per = per_level
         keep = F.col("passed")
         if needed is not None:
             per = per.join(needed, "ctx", "left")
@@ -281,7 +326,9 @@ def grow(rows: DataFrame, counts: DataFrame, divisor: float, depth: int, min_con
         part = kept.select("ctx", F.lit(None).cast("long").alias("x"), F.col("rest").alias("v"), F.col("total").alias("c"))
         part = part.unionAll(pairs.select("ctx", "x", value.alias("v"), "c"))
         values = part if values is None else values.unionAll(part)
+        scratch += [per_level, kept]
     if values is None:
+        forget(*scratch)
         return None
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +338,9 @@ def grow(rows: DataFrame, counts: DataFrame, divisor: float, depth: int, min_con
             x = np.asarray(b.column(1).fill_null(0), dtype=np.int64).view(np.uint64)
             yield pa.RecordBatch.from_arrays([_signed(np.where(state, ctx, pair(ctx, x))), b.column(2), b.column(3)], names=["h", "v", "c"])
 
-    return materialize(values.mapInArrow(keyed, "h long, v double, c long"), "lm-tree")
+    tree = materialize(values.mapInArrow(keyed, "h long, v double, c long"), "lm-tree")
+    forget(*scratch)
+    return tree
 
 
 def most_frequent(table: DataFrame, most: int) -> tuple[pa.Table, DataFrame | None]:
@@ -442,18 +491,26 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     parts = materialize(rows.mapInArrow(run, schema), "lm-parts")
     whole = parts.where(F.col("h").isNull()).select("uid", "doc_id", "n", "known", "base", "more")
     tail = parts.where(F.col("h").isNotNull()).select("uid", "n", "h", "token")
-    if model.rest is not None:
-        found = tail.join(model.rest.select("h", "v", F.lit(1).alias("there"), F.col("token").alias("kind")), "h", "left")
-        found = found.where(F.col("there").isNull() | (F.col("kind") == F.col("token")))
-    else:
-        found = tail.withColumn("v", F.lit(None).cast("double")).withColumn("there", F.lit(None).cast("int"))
     unseen = F.when(F.col("token"), F.lit(math.log10(0.5))).otherwise(F.lit(0.0))
     value = F.col("n") * F.coalesce("v", unseen)
-    found = found.groupBy("uid").agg(
-        F.sum(F.when(F.col("token"), value).otherwise(F.lit(0.0))).alias("tail"),
-        F.sum(F.when(~F.col("token"), value).otherwise(F.lit(0.0))).alias("tail_more"),
-        F.sum(F.when(F.col("token") & F.col("there").isNotNull(), F.col("n")).otherwise(F.lit(0))).alias("tail_known"),
-    )
+
+    def told(part: int) -> DataFrame:
+        mine = F.pmod(F.col("h"), F.lit(PARTS)) == part
+        asked = tail.where(mine)
+        if model.rest is not None:
+            found = asked.join(model.rest.where(mine).select("h", "v", F.lit(1).alias("there"), F.col("token").alias("kind")), "h", "left")
+            found = found.where(F.col("there").isNull() | (F.col("kind") == F.col("token")))
+        else:
+            found = asked.withColumn("v", F.lit(None).cast("double")).withColumn("there", F.lit(None).cast("int"))
+        sums = found.groupBy("uid").agg(
+            F.sum(F.when(F.col("token"), value).otherwise(F.lit(0.0))).alias("tail"),
+            F.sum(F.when(~F.col("token"), value).otherwise(F.lit(0.0))).alias("tail_more"),
+            F.sum(F.when(F.col("token") & F.col("there").isNotNull(), F.col("n")).otherwise(F.lit(0))).alias("tail_known"),
+        )
+        return materialize(sums, "lm-tail")
+
+    found = functools.reduce(DataFrame.unionAll, [told(part) for part in range(PARTS)])
+    found = found.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("tail", "tail_more", "tail_known")])
     out = whole.join(found, "uid", "left")
     base = F.col("base") + F.coalesce("tail", F.lit(0.0)) - F.col("n") * F.lit(math.log10(model.divisor))
     return out.select(
