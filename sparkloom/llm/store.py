@@ -10,6 +10,7 @@ change when a task is retried.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -102,6 +103,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def freeing(spark: SparkSession):
+    """Queries that are made and run herein delete what they shuffled as soon as they end, results that come to the driver too."""
+    # Asked for with a default, a setting that the session leaves alone seems not to exist.
+    kept = spark.conf.get(_CLEANUP, None)
+    try:
+        spark.conf.get(_CLEANUP)
+        there = True
+    except Exception:  # Spark has no such setting
+        there = False
+    if there:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if there and kept is None:
+            spark.conf.unset(_CLEANUP)
+        elif there:
+            spark.conf.set(_CLEANUP, kept)
+
+
 def numbered(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
     """``df`` with whole numbers as ``key``, and the table ``number, name`` of what they stand for.
 

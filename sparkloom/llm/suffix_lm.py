@@ -27,19 +27,27 @@ unigram score is a sum over its contexts: ``v`` of each state (the mass left
 over) and ``v`` of each (state, token) pair (its log-ratio, less what the next
 shorter pair gave).  So scoring needs no walk: it sums the values of the keys
 that the table has.  The values that are wanted most often go along with the
-code (at most ``head``), unigram counts alike; for the others a text sends one
-row for each distinct key to the tables, by a shuffle.  A Bloom filter of
-bounded size tells most absent keys.
+code (at most ``head``), unigram counts alike; the others are asked for at the
+tables.  A Bloom filter of bounded size tells most absent keys.
+
+What is shuffled in large numbers goes in blocks: a task sorts what it has
+gathered, up to some million keys, and sends each part of the key space its
+share as one row, compressed.  Parts grow in number with the corpus, so that
+one of them stays small; no context or key lands in one alone that other rows
+would have to wait for.  Pairs of frequent contexts and followers go as numbers
+of a list that goes along, others as hashes.  Texts are scored in rounds, one
+after the other, so that only one round's questions are on disk at once.
 
 Defined results: a null text is empty and has the end as its only token;
 without training texts every token's base probability is that of an unknown
 one; rows are scored on their own, so repeated rows and null ids stay.  Ids may
-be of any type.
+be of any type.  A text is of one round by its own hash, whatever its id.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -53,7 +61,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textscan
-from .store import forget, materialize
+from .store import forget, freeing, materialize
 
 #: The end of a text, as a hash that is not made from bytes.
 END = np.uint64(0x0123456789ABCDEF)
@@ -63,10 +71,14 @@ FILTER_BITS = (16, 28)
 #: Bits that a key sets in its filter.
 PROBES = 3
 _BASE, _PAIR = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
-#: Reducers that one context's followers are dealt to, a power of two.
-SALTS = 16
-#: Parts in which the keys of texts meet the tables, one after the other.
-PARTS = 4
+#: Rounds of texts that are scored one after the other, and shares of the parts that meet the tables one after the other in each.
+ROUNDS, SHARES = 2, 4
+#: Training tokens for each part that keys are dealt to, and bounds of the number of parts, as powers of two.
+PART_TOKENS, PART_BITS = 21, (7, 16)
+#: Tokens and contexts that can be numbered, as a power of two.
+NUMBERED = 24
+#: What a task may hold before it sends it: keys that texts ask for, and texts.
+_ASKED, _TEXTS = 1 << 20, 1 << 16
 #: Tokens whose contexts are looked at together.
 SLICE = 1 << 18
 
@@ -117,12 +129,12 @@ class Tally:
         if not self.held:
             return []
         cols = [np.concatenate(c) for c in zip(*self.held, strict=True)]
-        order = np.argsort(cols[0], kind="stable")
+        order = np.argsort(cols[0])
         first = runs(key := cols[0][order])
         return [key[first], np.add.reduceat(cols[1][order], first) if len(first) else cols[1], *(c[order[first]] for c in cols[2:])]
 
     def add(self, key: np.ndarray, *more: np.ndarray) -> list[np.ndarray] | None:
-        order = np.argsort(key, kind="stable") if more else None
+        order = np.argsort(key) if more else None
         key = key[order] if more else np.sort(key)
         first = runs(key)
         self.held.append([key[first], np.diff(np.append(first, len(key))), *(m[order[first]] for m in more)])
@@ -136,6 +148,19 @@ class Tally:
         return None
 
 
+class Listed(textscan.Lookup):
+    """A lookup that is sent as its hashes only."""
+
+    def __init__(self, hashes: np.ndarray, bits: int = 20):
+        super().__init__(hashes, bits)
+        self.bits = bits
+
+    def __reduce__(self):
+        hashes = np.empty_like(self.sorted)
+        hashes[self.order] = self.sorted
+        return Listed, (hashes, self.bits)
+
+
 class Bitmap:
     """Whether a key may be in a table, as a Bloom filter whose bits for a key lie in one word: no false absence."""
 
@@ -166,38 +191,142 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def _counted(rows: DataFrame, keys, columns: list[str]) -> DataFrame:
-    """``columns`` and ``c``: how often the arrays that ``keys(texts)`` gives, a key and what it stands for, have each, over all rows.
-
-    Keys that stand for a context and a follower go to the reducers by the
-    context, dealt further by the follower so that no context lands in one
-    task, and in that order: beside its neighbours a row then takes little more
-    than its follower.
-    """
-    pairs = len(columns) > 1
-
-    def out(found: list[np.ndarray]) -> pa.RecordBatch:
-        if not pairs:
-            return pa.RecordBatch.from_arrays([_signed(found[0]), _signed(found[1])], names=[*columns, "c"])
-        _, c, ctx, x = found
-        order = np.lexsort((x & np.uint64(SALTS - 1), ctx))
-        return pa.RecordBatch.from_arrays([_signed(ctx[order]), _signed(x[order]), _signed(c[order])], names=[*columns, "c"])
+def _counted(rows: DataFrame) -> DataFrame:
+    """``h, c``: how often the texts have each token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
+        out = lambda found: pa.RecordBatch.from_arrays([_signed(found[0]), _signed(found[1])], names=["h", "c"])
         for b in batches:
             for t in textscan.chunks(b.column(0)):
-                for arrays in keys(t):
-                    if (full := tally.add(*arrays)) is not None:
-                        yield out(full)
+                if (full := tally.add(tokens(t)[0])) is not None:
+                    yield out(full)
         if last := tally.merged():
             yield out(last)
 
-    counted = rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*columns, "c"]))
-    if not pairs:
-        return counted.groupBy(*columns).agg(F.sum("c").alias("c"))
-    dealt = counted.withColumn("salt", F.col(columns[1]).bitwiseAND(F.lit(SALTS - 1))).repartition(columns[0], "salt")
-    return dealt.groupBy(columns[0], "salt", columns[1]).agg(F.sum("c").alias("c")).drop("salt")
+    return rows.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+BLOCK = "part int, first long, n long, block binary"
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of 64 bits, the first ascending, as one binary: the steps of the first, bytes of one weight together, compressed."""
+    steps = np.diff(columns[0], prepend=np.uint64(0))
+    planes = [c.view(np.uint8).reshape(-1, 8).T.ravel() for c in (steps, *columns[1:])]
+    return pa.compress(np.concatenate(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(block: bytes, n: int, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(block, decompressed_size=8 * n * columns, codec="zstd"), dtype=np.uint8).reshape(columns, 8, n)
+    first, *more = (np.ascontiguousarray(r.T).view(np.uint64).ravel() for r in raw)
+    return [np.cumsum(first, dtype=np.uint64), *more]
+
+
+def blocks(part: np.ndarray, first: int, *columns: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    """Rows of ``BLOCK``, one for each part; rows of a part lie together, by the first column."""
+    for lo, hi in itertools.pairwise(np.append(runs(part), len(part))):
+        yield int(part[lo]), first, int(hi - lo), packed(*(c[lo:hi] for c in columns))
+
+
+def _sent(made: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``BLOCK``."""
+    while rows := list(itertools.islice(made, 256)):
+        arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["part", "first", "n", "block"])
+
+
+def _met(sent: DataFrame) -> DataFrame:
+    """Blocks of a part, one after the other, in one task."""
+    return sent.select("part", "first", "n", "block").repartition("part").sortWithinPartitions("part", "first")
+
+
+def _received(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+    for b in batches:
+        yield from zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)
+
+
+def part_bits(total: int) -> int:
+    """Of the parts for a corpus of so many tokens."""
+    least, most = PART_BITS
+    return min(max((total >> PART_TOKENS).bit_length(), least), most)
+
+
+@dataclass
+class Codes:
+    """Pairs of a numbered context and a numbered token as one number of 64 bits.
+
+    The highest 16 are the part, made of both numbers so that no context or
+    token is dealt to one part; below it the context's number and what the part
+    does not tell of the token's.
+    """
+
+    contexts: np.ndarray
+    tokens: np.ndarray
+    bits: int  # of the parts
+
+    @property
+    def width(self) -> int:
+        return (max(len(self.tokens) - 1, 0) >> self.bits).bit_length()
+
+    def __call__(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
+        part = context + token & (1 << self.bits) - 1
+        return (part << 48 | context << self.width | token >> self.bits).view(np.uint64)
+
+    def told(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of contexts and tokens."""
+        code = code.view(np.int64)
+        context = (code & (1 << 48) - 1) >> self.width
+        token = (code & (1 << self.width) - 1) << self.bits | (code >> 48 & 0xFFFF) - context & (1 << self.bits) - 1
+        return self.contexts[context], self.tokens[token]
+
+
+def _pairs(rows: DataFrame, found, codes: Codes, least: int, name: str) -> DataFrame:
+    """The table ``ctx, x, c`` of the pairs that occur ``least`` times or more.
+
+    ``found(texts)`` gives pairs of numbers as codes, and contexts and followers
+    of the others.
+    """
+    bits, spread = codes.bits, rows.sparkSession.sparkContext.broadcast(codes)
+
+    def coded(got: list[np.ndarray]) -> Iterator[tuple[int, int, int, bytes]]:
+        return blocks((got[0] >> np.uint64(48)).astype(np.int64), 0, got[0] & np.uint64((1 << 48) - 1), got[1].astype(np.uint64))
+
+    def named(got: list[np.ndarray]) -> Iterator[tuple[int, int, int, bytes]]:
+        part = (got[0] >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.lexsort((got[2], part))
+        return blocks(part[order], 1, got[2][order], got[3][order], got[1][order].astype(np.uint64))
+
+    def gather(texts: Iterator[textscan.Texts]) -> Iterator[tuple[int, int, int, bytes]]:
+        numbers, names = Tally(), Tally()
+        for t in texts:
+            for code, ctx, x in found(t):
+                if (full := numbers.add(code)) is not None:
+                    yield from coded(full)
+                if len(ctx) and (full := names.add(pair(ctx, x), ctx, x)) is not None:
+                    yield from named(full)
+        if last := numbers.merged():
+            yield from coded(last)
+        if last := names.merged():
+            yield from named(last)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _sent(gather(t for b in batches for t in textscan.chunks(b.column(0))))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (part, kind), met in itertools.groupby(_received(batches), lambda r: r[:2]):
+            cols = [np.concatenate(c) for c in zip(*(unpacked(block, n, 2 + kind) for _, _, n, block in met), strict=True)]
+            key = pair(cols[0], cols[1]) if kind else cols[0] | np.uint64(part << 48)
+            order = np.argsort(key)
+            first = runs(key[order])
+            c = np.add.reduceat(cols[-1][order], first)
+            at = order[first[c >= least]]
+            ctx, x = (cols[0][at], cols[1][at]) if kind else spread.value.told(key[at])
+            yield pa.RecordBatch.from_arrays([_signed(ctx), _signed(x), _signed(c[c >= least])], names=["ctx", "x", "c"])
+
+    made = materialize(_met(rows.mapInArrow(run, BLOCK)).mapInArrow(merge, "ctx long, x long, c long"), name)
+    spread.destroy()
+    return made
 
 
 def contexts(h: np.ndarray, begin: np.ndarray, lo: int, hi: int, depth: int, known=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -245,18 +374,23 @@ def _pair_keys(found: DataFrame) -> DataFrame:
     return found.select("ctx", "x").mapInArrow(run, "h long")
 
 
+def _numbered(table: DataFrame, name: str, most: int) -> tuple[np.ndarray, DataFrame | None]:
+    """The most frequent of ``name`` as a list, those that occur most first, and a table of the others, if any."""
+    top, rest = most_frequent(table, min(most, 1 << NUMBERED))
+    names = np.asarray(top[name], dtype=np.int64).view(np.uint64)
+    return names[np.argsort(-np.asarray(top["c"], dtype=np.int64), kind="stable")], rest
+
+
 def grow(
-    rows: DataFrame, counts: DataFrame, divisor: float, depth: int, min_context: int, min_follower: int, discount: float = 0.75, passes: int = 2
+    rows: DataFrame, counts: DataFrame, divisor: float, bits: int, depth: int, min_context: int, min_follower: int, discount: float = 0.75, head: int = 1 << 18
 ) -> DataFrame | None:
-    """The tree as ``h, v, c``, ``c`` being how often the key occurs; ``h, c`` of ``counts`` are the unigrams of ``rows``.
-
-    Each level is counted in ``passes`` over the texts, each of which counts
-    its share of the keys, so that only that share is on disk at once.
-    """
+    """The tree as ``h, v, c``, ``c`` being how often the key occurs; ``h, c`` of ``counts`` are the unigrams of ``rows``."""
     context = rows.sparkSession.sparkContext
-    follows = context.broadcast(bitmap(counts.where(F.col("c") >= min_follower)))
+    frequent = counts.where(F.col("c") >= min_follower)
+    names, others = _numbered(frequent, "h", head)
+    follows = context.broadcast((Listed(names), bitmap(others) if others is not None else None))
     base = (F.ln(F.col("c") + 0.5) - F.lit(math.log(divisor))).alias("base")
-    below = counts.where(F.col("c") >= min_follower).select(F.lit(0).cast("long").alias("shorter"), F.col("h").alias("x"), base, base.alias("lower"))
+    below = frequent.select(F.lit(0).cast("long").alias("shorter"), F.col("h").alias("x"), base, base.alias("lower"))
     end = int(END)
     found = counts.select(F.lit(0).cast("long").alias("ctx"), F.lit(0).cast("long").alias("shorter"), F.col("h").alias("x"), "c")
     levels: list[tuple[DataFrame, DataFrame]] = []
@@ -266,36 +400,39 @@ def grow(
         # A follower, an end aside, makes a context with those that it follows, and occurs as often as that one.
         heads = _extended(found.where((F.col("c") >= min_context) & (F.col("x") != end)), f"lm-contexts{n}")
         if not heads.limit(1).count():
+            forget(heads)
             break
-        scratch.append(heads)
         filters.append(bitmap(heads, "ctx"))
         # From the second level on, what follows a context has to have followed the next shorter one.
         before = bitmap(_pair_keys(found), rows=found.count()) if n > 1 else None
-        spread = context.broadcast((list(filters), before))
+        codes = Codes(_numbered(heads.withColumnRenamed("total", "c"), "ctx", head)[0], names, bits)
+        spread = context.broadcast((list(filters), before, codes, Listed(codes.contexts)))
 
-        def grams(t: textscan.Texts, share: int, n=n, spread=spread) -> Iterator[list[np.ndarray]]:
-            known, before = spread.value
+        def grams(t: textscan.Texts, n=n, spread=spread) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            (number, others), (known, before, codes, numbered) = follows.value, spread.value
             h, begin = tokens(t)
             for lo in range(0, len(h), SLICE):
                 *_, shorter, (at, key) = (None, *contexts(h, begin, lo, min(lo + SLICE, len(h)), n, lambda m, k: known[m - 1](k)))
-                ok = follows.value(h[at])
-                at, key = at[ok], key[ok]
+                x = number(h[at])
+                ok = x >= 0
+                if others is not None:
+                    missed = np.flatnonzero(~ok)
+                    ok[missed] = others(h[at[missed]])
+                at, key, x = at[ok], key[ok], x[ok]
                 if before is not None:
                     ok = before(pair(shorter[1][np.searchsorted(shorter[0], at)], h[at]))
-                    at, key = at[ok], key[ok]
-                both = pair(key, h[at])
-                ok = both % np.uint64(passes) == np.uint64(share)
-                yield [both[ok], key[ok], h[at[ok]]]
+                    at, key, x = at[ok], key[ok], x[ok]
+                ctx = numbered(key)
+                ok = (ctx >= 0) & (x >= 0)
+                yield codes(ctx[ok], x[ok]), key[~ok], h[at[~ok]]
 
         # What the bitmaps let through by chance goes here: counts and contexts are exact.
-        found = None
-        for share in range(passes):
-            part = _counted(rows, lambda t, share=share, grams=grams: grams(t, share), ["ctx", "x"]).where(F.col("c") >= min_follower)
-            scratch.append(part := materialize(part, f"lm-pairs{n}"))
-            found = part if found is None else found.unionAll(part)
+        counted = _pairs(rows, grams, codes, min_follower, f"lm-pairs{n}")
         # A follower of a context follows its suffixes too, so the level below has a row for each.
-        found = found.join(heads, "ctx").join(below, ["shorter", "x"])
+        found = counted.join(heads, "ctx").join(below, ["shorter", "x"])
         found = materialize(found.withColumn("own", F.ln((F.col("c") - F.lit(discount)) / F.col("total"))), f"lm-followers{n}")
+        forget(counted, heads)
+        spread.destroy()
         scratch.append(found)
         per = found.groupBy("ctx").agg(
             F.first("shorter").alias("shorter"), F.first("total").alias("total"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("counted"),
@@ -309,6 +446,7 @@ def grow(
         mass = F.log10(F.greatest(1 - F.col("own"), F.lit(1e-9)) / over)
         levels.append((materialize(per.select("ctx", "shorter", "total", passed.alias("passed"), mass.alias("rest")), f"lm-states{n}"), found))
         below = found.select(F.col("ctx").alias("shorter"), "x", "base", F.col("own").alias("lower"))
+    follows.destroy()
 
     # From the longest on: a state stays if it passed or is a suffix of one that stays.
     values, needed = None, None
@@ -365,11 +503,13 @@ class Model:
     head_counts: np.ndarray
     tree: textscan.Lookup  # the most frequent keys of the tree
     tree_values: np.ndarray
-    rest: DataFrame | None  # h, v, token: the others, unigrams as logarithms
+    rest: DataFrame | None  # the others as blocks of keys and values, unigrams as logarithms
+    more_tokens: bool  # whether these have tokens
     may_rest: Bitmap | None  # of the other keys of the tree
     total: int
     distinct: int
     depth: int
+    bits: int  # of the parts
     states: DataFrame | None  # the whole tree
 
     @property
@@ -390,16 +530,23 @@ def learn(
     """Counts and tree of all rows of ``docs`` that meet ``where``."""
     if not 1 <= min_follower <= min_context:
         raise ValueError("a context has to be as frequent as its followers")
+    with freeing(docs.sparkSession):
+        return _learned(docs, where, text, depth, min_context, min_follower, head, tree_head)
+
+
+def _learned(docs: DataFrame, where: Column | None, text: str, depth: int, min_context: int, min_follower: int, head: int, tree_head: int) -> Model:
     rows = docs.where(where) if where is not None else docs
     rows = rows.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counts = materialize(_counted(rows, lambda t: [[tokens(t)[0]]], ["h"]), "lm-counts")
+    counts = materialize(_counted(rows), "lm-counts")
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = size["n"], size["v"]
-    tree = grow(rows, counts, total + 0.5 * (distinct + 1), depth, min_context, min_follower)
+    bits = part_bits(total)
+    tree = grow(rows, counts, total + 0.5 * (distinct + 1), bits, depth, min_context, min_follower, head=head)
     top, rest = most_frequent(counts, head)
     u64 = lambda c: np.asarray(c, dtype=np.int64).view(np.uint64)
     if rest is not None:
         rest = rest.select("h", F.log10(F.col("c") + F.lit(0.5)).alias("v"), F.lit(True).alias("token"))
+    more_tokens = rest is not None
     keys, values, may_rest = np.zeros(0, np.uint64), np.zeros(0), None
     if tree is not None:
         best, other = most_frequent(tree, tree_head)
@@ -408,9 +555,35 @@ def learn(
             may_rest = bitmap(other)
             other = other.select("h", "v", F.lit(False).alias("token"))
             rest = other if rest is None else rest.unionAll(other)
+    if rest is not None:
+        rest = materialize(_table_blocks(rest, bits), "lm-rest")
+    forget(counts)
     return Model(
-        textscan.Lookup(u64(top["h"])), np.asarray(top["c"], dtype=np.int64), textscan.Lookup(keys, 22), values, rest, may_rest, total, distinct, depth, tree
-    )
+        Listed(u64(top["h"])), np.asarray(top["c"], dtype=np.int64), Listed(keys, 22), values,
+        rest, more_tokens, may_rest, total, distinct, depth, bits, tree,
+    )
+
+
+def _table_blocks(table: DataFrame, bits: int) -> DataFrame:
+    """Rows of ``h, v, token`` as blocks; those of tokens are in parts of their own."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+        held: list[list[np.ndarray]] = []
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                h = np.asarray(b.column("h"), dtype=np.int64).view(np.uint64)
+                held.append([_part(h, b.column("token").to_numpy(zero_copy_only=False), bits), h, np.asarray(b.column("v"), dtype=np.float64).view(np.uint64)])
+            if held and (b is None or sum(len(x[0]) for x in held) >= _ASKED):
+                part, h, v = (np.concatenate(c) for c in zip(*held, strict=True))
+                order = np.lexsort((h, part))
+                yield from blocks(part[order], -1, h[order], v[order])
+                held = []
+
+    return table.select("h", "v", "token").mapInArrow(lambda batches: _sent(made(batches)), BLOCK)
+
+
+def _part(h: np.ndarray, token: np.ndarray | bool, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64) * 2 + token
 
 
 def _tree_gains(h: np.ndarray, begin: np.ndarray, depth: int, tree: textscan.Lookup, values: np.ndarray, may: Bitmap | None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -447,12 +620,87 @@ def _tree_gains(h: np.ndarray, begin: np.ndarray, depth: int, tree: textscan.Loo
     return out, open_
 
 
+def _questions(keys: list[tuple[np.ndarray, np.ndarray, bool]], first: int, bits: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Blocks of keys, the texts that ask for them, counted from ``first``, and how often, of lists of texts, keys and whether they are tokens."""
+    for token in (False, True):
+        if not (mine := [k for k in keys if k[2] == token]):
+            continue
+        owner, h = (np.concatenate(c) for c in list(zip(*mine, strict=True))[:2])
+        order = np.argsort(h, kind="stable")
+        owner, h = owner[order].astype(np.uint64), h[order]
+        at = runs(h, owner)
+        n = np.diff(np.append(at, len(h))).astype(np.uint64)
+        yield from blocks(_part(h[at], token, bits), first, h[at], owner[at], n)
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the tables' blocks add to the texts whose questions meet them, summed over a task's parts: texts and sums as blocks."""
+    held: dict[int, np.ndarray] = {}
+    unseen = math.log10(0.5)
+
+    def out() -> Iterator[tuple[int, int, int, bytes]]:
+        for first, sums in held.items():
+            at = np.flatnonzero(sums.any(axis=0))
+            if len(at):
+                yield 0, first, len(at), packed(at.astype(np.uint64), *(np.ascontiguousarray(x[at]).view(np.uint64) for x in sums))
+        held.clear()
+
+    for part, met in itertools.groupby(_received(batches), lambda r: r[0]):
+        token, parts, table = part % 2 == 1, [], None
+        for _, first, n, block in met:
+            if first < 0:
+                parts.append(unpacked(block, n, 2))
+                continue
+            if table is None:
+                if not parts:
+                    break
+                keys, values = (np.concatenate(c) for c in zip(*parts, strict=True))
+                order = np.argsort(keys)
+                table = keys[order], values[order].view(np.float64)
+            h, owner, times = unpacked(block, n, 3)
+            k = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
+            hit = table[0][k] == h
+            owner, times, v = owner[hit].astype(np.int64), times[hit].astype(float), table[1][k[hit]]
+            if not len(owner):
+                continue
+            sums = held.get(first, np.zeros((3, 0)))
+            if (size := int(owner.max()) + 1) > sums.shape[1]:
+                sums = np.pad(sums, ((0, 0), (0, size - sums.shape[1])))
+            # An unknown token's share is in the text's own sum.
+            sums[0 if token else 1] += np.bincount(owner, times * (v - unseen if token else v), sums.shape[1])
+            if token:
+                sums[2] += np.bincount(owner, times, sums.shape[1])
+            held[first] = sums
+            if sum(x.shape[1] for x in held.values()) >= _TEXTS * 16:
+                yield from _sent(out())
+    yield from _sent(out())
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``uid, tail, tail_more, tail_known`` of blocks of answers, those of the same texts together."""
+    for first, met in itertools.groupby(_received(batches), lambda r: r[1]):
+        sums = np.zeros((3, 0))
+        for _, _, n, block in met:
+            at, *more = unpacked(block, n, 4)
+            at = at.astype(np.int64)
+            if at[-1] >= sums.shape[1]:
+                sums = np.pad(sums, ((0, 0), (0, int(at[-1]) + 1 - sums.shape[1])))
+            sums[:, at] += np.stack([x.view(np.float64) for x in more])
+        arrays = [pa.array(first + np.arange(sums.shape[1])), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["uid", "tail", "tail_more", "tail_known"])
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``."""
-    spread = docs.sparkSession.sparkContext.broadcast((model.head, model.head_counts, model.tree, model.tree_values, model.may_rest, model.depth))
+    spread = docs.sparkSession.sparkContext.broadcast(
+        (model.head, model.head_counts, model.tree, model.tree_values, model.may_rest, model.more_tokens, model.depth, model.bits)
+    )
     kind = docs.schema[key].dataType
     arrow = to_arrow_type(kind)
-    fields = [("uid", T.LongType()), ("doc_id", kind), ("n", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("more", T.DoubleType()), ("h", T.LongType()), ("token", T.BooleanType())]
+    fields = [
+        ("uid", T.LongType()), ("doc_id", kind), ("tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("more", T.DoubleType()),
+        ("part", T.IntegerType()), ("first", T.LongType()), ("n", T.LongType()), ("block", T.BinaryType()),
+    ]
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
     types = [arrow if n == "doc_id" else to_arrow_type(t) for n, t in fields]
 
@@ -461,59 +709,67 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(made, types, strict=True)], names=[n for n, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, head_counts, tree, values, may, depth = spread.value
+        head, head_counts, tree, values, may, more_tokens, depth, bits = spread.value
         logs = np.log10(head_counts + 0.5)
         # Unique within the job that writes these rows, which are then only read.
-        uid = TaskContext.get().partitionId() << 36
+        uid = first = TaskContext.get().partitionId() << 36
+        asked: list[tuple[np.ndarray, np.ndarray, bool]] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for b in _sent(_questions(asked, first, bits)):
+                yield batch(b.num_rows, part=b.column(0), first=b.column(1), n=b.column(2), block=b.column(3))
+            asked.clear()
+
         for b in batches:
             for t in textscan.chunks(b.column(1)):
                 h, begin = tokens(t)
                 owner = np.repeat(np.arange(len(t)), np.diff(begin))
                 at = head(h)
                 inside = at >= 0
-                base = np.bincount(owner[inside], logs[at[inside]], len(t)).astype(float)
+                base = np.full(len(h), math.log10(0.5))
+                base[inside] = logs[at[inside]]
+                base = np.bincount(owner, base, len(t)).astype(float)
                 known = np.bincount(owner[inside], minlength=len(t))
                 gains, open_ = _tree_gains(h, begin, depth, tree, values, may)
                 more = np.bincount(owner, gains, len(t)).astype(float)
                 ids = uid + np.arange(len(t))
+                yield batch(len(t), uid=ids, doc_id=b.column(0).slice(t.rows.start, len(t)), tokens=np.diff(begin), known=known.astype(np.int64), base=base, more=more)
+                if more_tokens:
+                    outside = np.flatnonzero(~inside)
+                    asked.append((owner[outside] + (uid - first), h[outside], True))
+                asked += [(owner[places] + (uid - first), keys, False) for places, keys in open_]
                 uid += len(t)
-                yield batch(len(t), uid=ids, doc_id=b.column(0).slice(t.rows.start, len(t)), n=np.diff(begin), known=known.astype(np.int64), base=base, more=more)
-                outside = np.flatnonzero(~inside)
-                for places, keys, token in ((outside, h[outside], True), *((p, k, False) for p, k in open_)):
-                    o = owner[places]
-                    order = np.lexsort((keys, o))
-                    o, x = o[order], keys[order]
-                    first = runs(o, x)
-                    n = np.diff(np.append(first, len(x)))
-                    yield batch(len(first), uid=ids[o[first]], n=n.astype(np.int64), h=x[first].view(np.int64), token=np.full(len(first), token))
-
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    parts = materialize(rows.mapInArrow(run, schema), "lm-parts")
-    whole = parts.where(F.col("h").isNull()).select("uid", "doc_id", "n", "known", "base", "more")
-    tail = parts.where(F.col("h").isNotNull()).select("uid", "n", "h", "token")
-    unseen = F.when(F.col("token"), F.lit(math.log10(0.5))).otherwise(F.lit(0.0))
-    value = F.col("n") * F.coalesce("v", unseen)
-
-    def told(part: int) -> DataFrame:
-        mine = F.pmod(F.col("h"), F.lit(PARTS)) == part
-        asked = tail.where(mine)
-        if model.rest is not None:
-            found = asked.join(model.rest.where(mine).select("h", "v", F.lit(1).alias("there"), F.col("token").alias("kind")), "h", "left")
-            found = found.where(F.col("there").isNull() | (F.col("kind") == F.col("token")))
+                if uid - first >= _TEXTS or sum(len(k) for _, k, _ in asked) >= _ASKED:
+                    yield from sent()
+                    first = uid
+        yield from sent()
+
+    def told(rows: DataFrame) -> DataFrame:
+        parts = materialize(rows.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema), "lm-parts")
+        out = parts.where(F.col("part").isNull()).select("uid", "doc_id", "tokens", "known", "base", "more")
+        if model.rest is None:
+            return out.withColumns({"tail": F.lit(0.0), "tail_more": F.lit(0.0), "tail_known": F.lit(0)})
+        asked = parts.where(F.col("part").isNotNull()).select("part", "first", "n", "block").unionAll(model.rest)
+        answers = []
+        for share in range(SHARES):
+            # Parts of tree and tokens have even and odd numbers.
+            mine = F.shiftright("part", 1).bitwiseAND(F.lit(SHARES - 1)) == share
+            answers.append(materialize(_met(asked.where(mine)).mapInArrow(_answers, BLOCK), "lm-answers"))
+        found = functools.reduce(DataFrame.unionAll, answers).repartition("first").sortWithinPartitions("first")
+        found = found.mapInArrow(_totals, "uid long, tail double, tail_more double, tail_known long")
+        out = materialize(out.join(found, "uid", "left").fillna(0, ["tail", "tail_more", "tail_known"]), "lm-told")
+        forget(parts, *answers)
+        return out
+
+    with freeing(docs.sparkSession):
+        if model.rest is None:
+            out = told(docs)
         else:
-            found = asked.withColumn("v", F.lit(None).cast("double")).withColumn("there", F.lit(None).cast("int"))
-        sums = found.groupBy("uid").agg(
-            F.sum(F.when(F.col("token"), value).otherwise(F.lit(0.0))).alias("tail"),
-            F.sum(F.when(~F.col("token"), value).otherwise(F.lit(0.0))).alias("tail_more"),
-            F.sum(F.when(F.col("token") & F.col("there").isNotNull(), F.col("n")).otherwise(F.lit(0))).alias("tail_known"),
-        )
-        return materialize(sums, "lm-tail")
-
-    found = functools.reduce(DataFrame.unionAll, [told(part) for part in range(PARTS)])
-    found = found.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("tail", "tail_more", "tail_known")])
-    out = whole.join(found, "uid", "left")
-    base = F.col("base") + F.coalesce("tail", F.lit(0.0)) - F.col("n") * F.lit(math.log10(model.divisor))
+            rounds = F.pmod(F.xxhash64(F.col(text)), F.lit(ROUNDS))
+            out = functools.reduce(DataFrame.unionAll, [told(docs.where(rounds == k)) for k in range(ROUNDS)])
+    spread.destroy()
+    base = F.col("base") + F.col("tail") - F.col("tokens") * F.lit(math.log10(model.divisor))
     return out.select(
-        "doc_id", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more") + F.coalesce("tail_more", F.lit(0.0))).alias("score"),
+        "doc_id", F.col("tokens").alias("n_tokens"), (F.col("known") + F.col("tail_known")).alias("n_known"),
+        F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more") + F.col("tail_more")).alias("score"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import suffix_lm as S
 from sparkloom.llm import textscan
+from sparkloom.llm.store import freeing
 
 
 def toks(t):
@@ -158,3 +159,48 @@ def test_tally_stays_bounded_and_exact():
     for k, n in zip(*tally.merged(), strict=True):
         out[int(k)] += int(n)
     assert out == want
+
+
+def test_pairs_and_questions_go_in_blocks(spark, monkeypatch):
+    """A row for each part that a task knows something for, not one for each pair or key of a text."""
+    made = {}
+    write = S.materialize
+
+    def seen(df, name):
+        table = write(df, name)
+        made[name] = made.get(name, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(S, "materialize", seen)
+    monkeypatch.setattr(S, "PART_BITS", (1, 16))
+    texts = corpus()
+    docs = documents(spark, texts).repartition(2)
+    m = S.learn(docs, head=40, tree_head=30, **SMALL)
+    scores = {r["doc_id"]: r["score"] for r in S.score(docs, m).collect()}
+    assert sum(len(set(toks(t))) for t in texts) > 5000 and made["lm-parts"] < 2 * len(texts) and made["lm-rest"] < 200
+    whole = S.learn(docs, **SMALL)
+    for r in S.score(docs, whole).collect():
+        assert scores[r["doc_id"]] == pytest.approx(r["score"], rel=1e-9, abs=1e-9)
+
+
+def test_blocks_and_codes_give_back_what_they_hold():
+    g = np.random.default_rng(2)
+    part = np.sort(g.integers(0, 5, 1000))
+    key, more = np.sort(g.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)), g.integers(0, 1 << 63, 1000, dtype=np.uint64)
+    got = [(p, n, S.unpacked(b, n, 2)) for p, _, n, b in S.blocks(part, 0, key, more)]
+    assert [p for p, *_ in got] == [0, 1, 2, 3, 4] and sum(n for _, n, _ in got) == 1000
+    assert (np.concatenate([c[0] for *_, c in got]) == key).all() and (np.concatenate([c[1] for *_, c in got]) == more).all()
+    assert list(S.blocks(np.zeros(0, np.int64), 0, np.zeros(0, np.uint64))) == []
+    for bits, contexts, names in ((1, 3, 2), (7, 1, 1000), (16, 1 << 18, 1 << 20)):
+        codes = S.Codes(np.arange(contexts, dtype=np.uint64), np.arange(names, dtype=np.uint64), bits)
+        c, x = g.integers(0, contexts, 500), g.integers(0, names, 500)
+        code = codes(c, x)
+        back = codes.told(code)
+        assert (back[0] == c).all() and (back[1] == x).all() and (code >> np.uint64(48)).max() < 1 << bits
+
+
+def test_what_was_shuffled_is_freed(spark):
+    k = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with freeing(spark):
+        assert spark.conf.get(k) == "true"
+    assert spark.conf.get(k) == "false" and spark.conf.get(k, None) is None
