@@ -86,7 +86,8 @@ def join_null_safe_whole(t):
 @R.frame("SELECT c_custkey, s_suppkey, c_nationkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 10 = s_suppkey % 10")
 def join_composite(t):
     l, r = t.customer.select("c_custkey", "c_nationkey"), t.supplier.select("s_suppkey", "s_nationkey")
-    return J.join(l, r, [("c_nationkey", "s_nationkey"), ("c_custkey % 10", "s_suppkey % 10")]).select("c_custkey", "s_suppkey", "c_nationkey")
+    both = balance.block_join(l, r, [("c_nationkey", "s_nationkey"), ("c_custkey % 10", "s_suppkey % 10")])
+    return both.select("c_custkey", "s_suppkey", "c_nationkey")
 
 
 @R.frame("SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_partkey / 4 * 1.0 = (s_suppkey + 1) / 2 * 1.0")

@@ -209,3 +209,30 @@ def test_equal_rows_of_a_hot_key_are_spread(spark):
         assert out.columns == ["k", "v"] and out.count() == n
     hot = balance.written(left.where("k = 1")).withColumn("s", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(8)))
     assert hot.select("s").distinct().count() == 8
+
+
+def test_block_join_equals_plain_join(spark):
+    import random
+
+    r = random.Random(5)
+    make = lambda n: [(r.choice([N, 1, 1, 1, *range(9)]), r.choice([N, 0.5, 0.5, float("nan"), -0.0]), i % 70) for i in range(n)]
+    left, right = spark.createDataFrame(make(300), "k int, x double, v int"), spark.createDataFrame(make(200), "k bigint, x double, v int")
+    key = lambda df: sorted(map(str, df.collect()))
+    for a, b, on in ((left, right, ["k", "x"]), (left, right, "k"), (left, right, [("k % 3", "k % 3"), ("x", "x")]), (left, left, "x"), (left, right.where("k = 1"), ("k", "k")), (left.where("k = 1"), right.where("k > 6"), "k")):
+        plain = J.join(a, b, on)
+        for block, task in ((4, 50), (1000, 10**9)) if on == "k" else ((4, 50),):
+            out = balance.block_join(a, b, on, block=block, task=task)
+            assert out.dtypes == plain.dtypes and key(out) == key(plain)
+    assert balance.block_join(left.limit(0), right, "k", task=1).count() == 0
+
+
+def test_pairs_of_one_key_are_dealt_over_tasks(spark, tmp_path):
+    from sparkloom.queries import QUERIES
+
+    spark.range(40_000).selectExpr("id * 10 AS c_custkey", "3 AS c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(600).selectExpr("id * 10 AS s_suppkey", "3 AS s_nationkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    out = QUERIES["join_composite"](spark, str(tmp_path))
+    made = out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("c"), F.sum("s_suppkey").alias("s")).collect()
+    assert sum(r["n"] for r in made) == 40_000 * 600
+    assert sum(r["c"] for r in made) == 600 * 10 * sum(range(40_000)) and sum(r["s"] for r in made) == 40_000 * 10 * sum(range(600))
+    assert max(r["n"] for r in made) <= 40_000 * 600 / 2
