@@ -143,5 +143,21 @@ def chain(base: DataFrame, others: Sequence[tuple[DataFrame, Key | Sequence[Key]
     return out
 
 
+def pair_counts(tables: Sequence[tuple[DataFrame, str]], key: str, pairs: str) -> DataFrame:
+    """``key, pairs``: how many rows the inner join of all tables on one key has for each key, without making them.
+
+    ``tables``: each with its column that is the key; the first one's type counts.
+    Rows are counted by key in each table, the counts are joined and multiplied.
+    """
+    out = None
+    for i, (df, column) in enumerate(tables):
+        n = df.groupBy(F.col(f"`{column}`").alias(f"__key{i}")).agg(F.count(F.lit(1)).alias(f"__n{i}"))
+        out = n if out is None else join(out, n, ("__key0", f"__key{i}"))
+    if out is None:
+        raise ValueError("pair_counts needs a table")
+    out = out.where(F.col("__key0").isNotNull())
+    return out.select(F.col("__key0").alias(key), reduce(lambda x, y: x * y, [F.col(f"__n{i}") for i in range(len(tables))]).alias(pairs))
+
+
 def explain_join(df: DataFrame) -> list[tuple[str, str, str | None]]:
     return [(j.node, j.join_type, j.build) for j in introspect.joins(df)]

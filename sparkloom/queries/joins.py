@@ -154,8 +154,7 @@ def join_not_in(t):
 
 @R.frame("SELECT n_nationkey, CAST(count(*) AS BIGINT) AS pairs FROM nation JOIN customer a ON n_nationkey = a.c_nationkey JOIN supplier b ON n_nationkey = b.s_nationkey GROUP BY n_nationkey")
 def join_duplicates(t):
-    both = J.join(t.customer.select("c_nationkey"), t.supplier.select("s_nationkey"), ("c_nationkey", "s_nationkey"))
-    return both.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("pairs"))
+    return J.pair_counts([(t.nation, "n_nationkey"), (t.customer, "c_nationkey"), (t.supplier, "s_nationkey")], "n_nationkey", "pairs")
 
 
 def _empty_counts(t, empty: str):

@@ -236,3 +236,19 @@ def test_pairs_of_one_key_are_dealt_over_tasks(spark, tmp_path):
     assert sum(r["n"] for r in made) == 40_000 * 600
     assert sum(r["c"] for r in made) == 600 * 10 * sum(range(40_000)) and sum(r["s"] for r in made) == 40_000 * 10 * sum(range(600))
     assert max(r["n"] for r in made) <= 40_000 * 600 / 2
+
+
+def test_pairs_of_a_key_are_counted_without_being_made(spark, tmp_path):
+    from sparkloom.queries import QUERIES
+
+    # Nation 2 has two rows, nation 9 has none, nation 4 has no supplier; 2 * 10^9 pairs for nation 1.
+    spark.createDataFrame([(1,), (2,), (2,), (4,), (N,)], "n_nationkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(100_000).selectExpr("CASE WHEN id > 6 THEN 1 ELSE element_at(array(2, 2, 9, 4, 2, NULL, NULL), CAST(id AS INT) + 1) END AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(20_000).selectExpr("CASE WHEN id > 4 THEN 1 ELSE element_at(array(2, 9, 2, NULL, 7), CAST(id AS INT) + 1) END AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    out = QUERIES["join_duplicates"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Join") < plan.index("Aggregate"), "rows are counted below the joins"
+    assert out.dtypes == [("n_nationkey", "int"), ("pairs", "bigint")]
+    assert rows(out) == [(1, 99_993 * 19_995), (2, 2 * 3 * 2)]
+    with pytest.raises(ValueError):
+        J.pair_counts([], "k", "n")
